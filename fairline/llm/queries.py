@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fairline.llm import bpe, fingerprints, packing, quality_classifier, quality_rules, sharding, simhash, warc
+from fairline.llm import bpe, fingerprints, licenses, line_dedup, packing, quality_classifier, quality_rules, sharding, simhash, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -11,11 +11,14 @@ QUERIES = {
     "op4_bpe": bpe.op4_bpe,
     "op5_simhash": simhash.op5_simhash,
     "op6_sharding": sharding.op6_sharding,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_licenses": licenses.op8_licenses,
     "op9_warc": warc.op9_warc,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
 }
 
 ORACLE_SQL = {
     "op3_quality_rules": quality_rules.OP3_SQL,
+    "op8_licenses": licenses.OP8_SQL,
     "op9_warc": warc.OP9_SQL,
 }
