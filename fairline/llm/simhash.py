@@ -94,10 +94,10 @@ def _forest(fps: list[int]) -> list[tuple[int, int]]:
 def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) between distinct fingerprints whose components are those of all links."""
     keyed = fps.select("fp", F.explode(variants()).alias("k"))
-    shared = keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
-    dealt = keyed.join(shared, "k").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")).withColumn("c", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+    hot = keyed.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
+    dealt = keyed.join(hot, "k", "left").withColumn("chunks", F.coalesce(F.ceil(F.col("n") / CHUNK).cast("int"), F.lit(1))).withColumn("c", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
     pairs = F.when(F.col("chunks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.least(o, "c").cast("long") * F.col("chunks") + F.greatest(o, F.col("c"))))
-    groups = dealt.select("k", "fp", F.explode(pairs).alias("pair")).groupBy("k", "pair").agg(F.collect_list("fp").alias("fps")).select("fps")
+    groups = dealt.select("k", "fp", F.explode(pairs).alias("pair")).groupBy("k", "pair").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
 
     def run(batches):
         for b in batches:
