@@ -18,7 +18,8 @@ window spans windows. An empty table gives no rows; repeated rows are packed eac
 
 from __future__ import annotations
 
-import zlib
+import unicodedata
+from array import array
 from collections import deque
 
 import numpy as np
@@ -35,11 +36,24 @@ END_ID = 2
 CUT_PENALTY = 24
 WINDOW_COST = 8
 BLOCK_TOKENS = 1 << 20
-CACHE = 300_000
+CACHE = 1_000_000
+END_BYTES = END_ID.to_bytes(4, "little")
+MARKS = (b".", b",")
 #: Endings of vocabulary strings that close a sentence.
 SENTENCE_ENDS = (".</w>", "!</w>", "?</w>", "...</w>")
 
 
+def small_letters(word: bytes) -> bytes | None:
+    """The lower-case form of a word that is letters only and stays itself when normalised; else None."""
+    if word.isalpha():
+        return word.lower()
+    text = word.decode()
+    if word.isascii() or not text.isalpha():
+        return None
+    small = "".join([c.lower() for c in text])
+    return small.encode() if unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", small) else None
+
+
 class ChunkIds:
     """Ids from the tokenizers library, kept per white-space separated chunk.
 
@@ -52,20 +66,54 @@ class ChunkIds:
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
+        self.apart_id, token = next(iter(self.lib.get_added_tokens_decoder().items()))
+        self.apart = token.content
         self.known: dict[bytes, bytes] = {}
         self.ends = np.zeros(self.lib.get_vocab_size(True) + 1, bool)
         for name, i in self.lib.get_vocab(True).items():
             self.ends[i] = name.endswith(SENTENCE_ENDS)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        chunks = [t.split() for t in texts]
+        """Ids of each text, closed by END_ID."""
         if len(self.known) >= CACHE:
             self.known.clear()
-        new = list({c for cs in chunks for c in cs if c not in self.known})
-        for c, e in zip(new, self.lib.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)):
-            self.known[c] = np.array(e.ids, "<u4").tobytes()
-        known = self.known
-        return [np.frombuffer(b"".join([known[c] for c in cs]), "<u4") for cs in chunks]
+        get, out = self.known.get, []
+        for text in texts:
+            chunks = text.split()
+            ids = list(map(get, chunks))
+            if None in ids:
+                self.learn({c for c, i in zip(chunks, ids) if i is None})
+                ids = map(get, chunks)
+            out.append(np.frombuffer(b"".join([*ids, END_BYTES]), "<u4"))
+        return out
+
+    def learn(self, chunks: set[bytes]) -> None:
+        """Encode new chunks. A word in capitals has the ids of its small letters; a closing mark adds its own."""
+        known, plain, other = self.known, [], []
+        for c in chunks:
+            w = c[:-1] if c[-1:] in MARKS else c
+            small = small_letters(w)
+            if small is None:
+                other.append(c)
+            else:
+                plain.append((c, small, c[len(w) :]))
+        self.encode_new([c for c in {*(w for _, w, _ in plain), *MARKS, *other} if c not in known])
+        for c, w, mark in plain:
+            known[c] = known[w] + known[mark] if mark else known[w]
+
+    def encode_new(self, new: list[bytes]) -> None:
+        """Many chunks a call, set apart by an added token, which the library cuts out before all else."""
+        odd = [c for c in new if b"<|" in c]
+        for c, e in zip(odd, self.lib.encode_batch_fast([c.decode() for c in odd], add_special_tokens=False)):
+            self.known[c] = array("I", e.ids).tobytes()
+        rest = [c for c in new if b"<|" not in c]
+        for at in range(0, len(rest), 500):
+            some = rest[at : at + 500]
+            ids = np.array(self.lib.encode(self.apart.join([c.decode() for c in some]), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(ids == self.apart_id).tolist()
+            raw = ids.tobytes()
+            for c, i, j in zip(some, [-1, *ends], [*ends, len(ids)]):
+                self.known[c] = raw[4 * i + 4 : 4 * j]
 
 
 def cuts(pos: np.ndarray, penalty: np.ndarray, size: int = SIZE) -> list[int]:
@@ -104,13 +152,17 @@ def cuts(pos: np.ndarray, penalty: np.ndarray, size: int = SIZE) -> list[int]:
 
 def boundaries(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
     """(positions where a window may end, penalty of each): document ends, sentence ends, forced steps."""
-    inside = np.flatnonzero(ends[ids]) + 1
-    pos = np.union1d(np.union1d(inside, doc_ends), [0, len(ids)])
+    allowed = np.zeros(len(ids) + 1, np.int8)
+    allowed[1:] = ends[ids]
+    allowed[[0, len(ids)]] = 1
+    allowed[doc_ends] = 2
+    pos = np.flatnonzero(allowed)
     gap = np.flatnonzero(np.diff(pos) > size)
+    for g in gap:
+        allowed[np.arange(pos[g] + size, pos[g + 1], size)] = 1
     if len(gap):
-        pos = np.union1d(pos, np.concatenate([np.arange(pos[g], pos[g + 1], size) for g in gap]))
-    pen = np.where(np.isin(pos, doc_ends), 0, CUT_PENALTY)
-    return pos, pen
+        pos = np.flatnonzero(allowed)
+    return pos, np.where(allowed[pos] == 2, 0, CUT_PENALTY)
 
 
 def pack(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", size: int = SIZE) -> DataFrame:
@@ -165,8 +217,8 @@ def pack(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", si
             for at in range(0, len(texts), 256):
                 for name, ids in zip(names[at : at + 256], lib.encode(texts[at : at + 256])):
                     keys.append(name)
-                    docs_ids.append(np.append(ids, np.uint32(END_ID)))
-                    total += len(ids) + 1
+                    docs_ids.append(ids)
+                    total += len(ids)
                 if total >= BLOCK_TOKENS:
                     yield batch(close(False), b.schema.field(0).type)
         if docs_ids:
