@@ -51,7 +51,7 @@ def small_letters(word: bytes) -> bytes | None:
     if word.isascii() or not text.isalpha():
         return None
     small = "".join([c.lower() for c in text])
-    return small.encode() if unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", small) else None
+    return small.encode() if small.isalpha() and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", small) else None
 
 
 class ChunkIds:
