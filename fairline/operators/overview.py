@@ -14,7 +14,7 @@ def outcome_mix(df: DataFrame, keys: list[str] = [], target: str = "ftr") -> Dat
 
 def counts_by_season(df: DataFrame, leagues: list[str]) -> DataFrame:
     """Matches per season, one column per league."""
-    return df.groupBy("season").pivot("league", leagues).agg(F.count("*")).na.fill(0)
+    return df.groupBy("season").pivot("league", leagues).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def market_summary(market: DataFrame) -> DataFrame:

@@ -2,5 +2,423 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fairline.functions import odds, scalar
+from fairline.functions.goals import expected_goals, match_probabilities
+from fairline.operators import drift, entity, evaluate, form, goal_ratings, models, overview, splits
+from fairline.plans.testmap import MATCHES_SQL, PREDICTIONS_SQL, matches, predictions, quotes, ratings
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+LEAGUES = tuple(f"L{i}" for i in range(5))
+O = ("H", "D", "A")  # noqa: E741
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL if SQL can express it."""
+
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _with(body: str, *ctes: str) -> str:
+    return "WITH " + ",\n".join([MATCHES_SQL.strip(), *[c.strip() for c in ctes]]) + "\n" + body
+
+
+LONG = """
+long AS (
+  SELECT match_id, league, season, date, 1 AS is_home, home_team AS team, away_team AS opponent, fthg AS goals_for, ftag AS goals_against, home_xg AS xg_for, away_xg AS xg_against,
+    CASE WHEN fthg > ftag THEN 3.0 WHEN fthg = ftag THEN 1.0 ELSE 0.0 END::DOUBLE AS points FROM matches
+  UNION ALL
+  SELECT match_id, league, season, date, 0, away_team, home_team, ftag, fthg, away_xg, home_xg, CASE WHEN ftag > fthg THEN 3.0 WHEN ftag = fthg THEN 1.0 ELSE 0.0 END::DOUBLE FROM matches)
+"""
+ELO = """
+elo1 AS (SELECT l.*, r.elo::DOUBLE AS elo FROM long l ASOF LEFT JOIN ratings r ON l.team = r.team AND l.date - INTERVAL 1 DAY >= r.from_date),
+elo2 AS (SELECT a.*, b.elo AS opp_elo FROM elo1 a JOIN elo1 b ON a.match_id = b.match_id AND a.is_home <> b.is_home)
+"""
+
+
+def _lag(col: str, w: int, part: str = "team") -> str:
+    o = f"(PARTITION BY {part} ORDER BY date, match_id ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING)"
+    return f"CASE WHEN count({col}) OVER {o} = {w} THEN avg({col}) OVER {o} END"
+
+
+MARKET = """
+picked AS (
+  SELECT m.match_id, m.league, m.season, m.ftr, CASE WHEN odds_PSC_H > 1 AND odds_PSC_D > 1 AND odds_PSC_A > 1 THEN 'PSC' WHEN odds_AvgC_H > 1 AND odds_AvgC_D > 1 AND odds_AvgC_A > 1 THEN 'AvgC' END AS odds_source, q.*
+  FROM matches m JOIN quotes q USING (match_id)),
+priced AS (SELECT match_id, league, season, ftr, odds_source, CASE odds_source WHEN 'PSC' THEN odds_PSC_H ELSE odds_AvgC_H END AS odds_H, CASE odds_source WHEN 'PSC' THEN odds_PSC_D ELSE odds_AvgC_D END AS odds_D, CASE odds_source WHEN 'PSC' THEN odds_PSC_A ELSE odds_AvgC_A END AS odds_A FROM picked),
+market AS (SELECT *, 1 / odds_H + 1 / odds_D + 1 / odds_A AS overround FROM priced)
+"""
+
+
+def _market(s: SparkSession, d: str) -> DataFrame:
+    m = matches(s, d).select("match_id", "league", "season", "ftr").join(quotes(s, d), "match_id")
+    best = odds.best_odds(m)
+    return best.withColumn("overround", odds.overround([F.col(f"odds_{o}") for o in O]))
+
+
+@query(_with(f"SELECT l.match_id, round(max(CASE WHEN is_home = 1 THEN r END), 6) AS home_points_r5, round(max(CASE WHEN is_home = 0 THEN r END), 6) AS away_points_r5, any_value(odds_source) AS odds_source, round(any_value(1 / odds_H / overround), 6) AS p_mult_H FROM (SELECT *, {_lag('points', 5)} AS r FROM long) l JOIN market k ON k.match_id = l.match_id GROUP BY 1", LONG, MARKET))
+def flagship_form_market(s: SparkSession, d: str) -> DataFrame:
+    rows = form.long_frame(matches(s, d)).withColumn("points_r5", form.lagged_mean("points", 5, "team"))
+    wide = form.wide_frame(rows, ("points_r5",)).select("match_id", "home_points_r5", "away_points_r5")
+    p = odds.devig_multiplicative([F.col(f"odds_{o}") for o in O])
+    return rounded(wide.join(_market(s, d).select("match_id", "odds_source", p[0].alias("p_mult_H")), "match_id"))
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d')::DATE AS long_date, strftime(o_orderdate, '%Y-%m-%d')::DATE AS short_date, (year(o_orderdate) - CASE WHEN month(o_orderdate) < 7 THEN 1 ELSE 0 END)::INT AS season,
+  lpad(((year(o_orderdate) - CASE WHEN month(o_orderdate) < 7 THEN 1 ELSE 0 END) % 100)::VARCHAR, 2, '0') || lpad(((year(o_orderdate) - CASE WHEN month(o_orderdate) < 7 THEN 1 ELSE 0 END + 1) % 100)::VARCHAR, 2, '0') AS code,
+  (year(o_orderdate) - CASE WHEN month(o_orderdate) < 7 THEN 1 ELSE 0 END) || '-' || lpad(((year(o_orderdate) - CASE WHEN month(o_orderdate) < 7 THEN 1 ELSE 0 END + 1) % 100)::VARCHAR, 2, '0') AS label,
+  'L_' || (year(o_orderdate) - CASE WHEN month(o_orderdate) < 7 THEN 1 ELSE 0 END) || '_AB_' || replace(o_orderpriority, ' ', '') AS mid FROM orders WHERE o_orderdate >= DATE '2000-01-01' OR o_orderdate < DATE '2000-01-01'""")
+def dates_seasons_ids(s: SparkSession, d: str) -> DataFrame:
+    o = s.read.parquet(f"{d}/orders.parquet")
+    a, b = scalar.parse_date(F.date_format("o_orderdate", "d/M/yyyy")), scalar.parse_date(F.date_format("o_orderdate", "dd/MM/yy"))
+    season = scalar.season_of(a)
+    b = F.when(F.year(b) >= 2090, F.add_months(b, -1200)).otherwise(b)
+    return o.select("o_orderkey", a.alias("long_date"), b.alias("short_date"), season.alias("season"), scalar.season_code(season).alias("code"), scalar.season_label(season).alias("label"), scalar.match_id(F.lit("L"), season, F.lit("A B"), F.col("o_orderpriority")).alias("mid"))
+
+
+@query(_with("SELECT * FROM long", LONG))
+def long_frame(s: SparkSession, d: str) -> DataFrame:
+    return form.long_frame(matches(s, d))
+
+
+_ROLL = ", ".join(f"round({_lag(c, w)}, 6) AS {c}_r{w}" for c in form.ROLL_STATS for w in form.WINDOWS)
+
+
+@query(_with(f"""SELECT match_id, is_home, team, {_ROLL}, least(floor((epoch(date) - epoch(lag(date) OVER (PARTITION BY team ORDER BY date, match_id))) / 86400), CASE WHEN lag(date) OVER (PARTITION BY team ORDER BY date, match_id) IS NOT NULL THEN 21 END)::DOUBLE AS rest_days,
+  (row_number() OVER (PARTITION BY team ORDER BY date, match_id) - 1)::INT AS n_prior, (row_number() OVER (PARTITION BY team, season ORDER BY date, match_id) - 1)::INT AS n_prior_in_season FROM long""", LONG))
+def rolling_form(s: SparkSession, d: str) -> DataFrame:
+    r = form.rolling_form(form.long_frame(matches(s, d)))
+    return rounded(r.select("match_id", "is_home", "team", *[f"{c}_r{w}" for c in form.ROLL_STATS for w in form.WINDOWS], "rest_days", "n_prior", "n_prior_in_season"))
+
+
+@query(_with("SELECT match_id, is_home, team, elo, opp_elo FROM elo2", LONG, ELO))
+def asof_ratings(s: SparkSession, d: str) -> DataFrame:
+    return form.opponent_elo(form.attach_elo(form.long_frame(matches(s, d)), ratings(s, d))).select("match_id", "is_home", "team", "elo", "opp_elo")
+
+
+_DERIVED = f"""
+der AS (SELECT *, goals_for - goals_against AS goal_diff, CASE points WHEN 3 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END - 1 / (1 + pow(10, (opp_elo - elo) / 400)) AS elo_over, row_number() OVER (PARTITION BY team ORDER BY date, match_id) AS rn FROM elo2),
+ew AS (SELECT match_id AS mid, team AS tm, sum(p * pow(2.0 / 3, k)) / sum(pow(2.0 / 3, k)) AS ewma FROM (SELECT a.match_id, a.team, b.points AS p, a.rn - b.rn - 1 AS k FROM der a JOIN der b ON a.team = b.team AND b.rn < a.rn AND b.rn >= a.rn - 100) GROUP BY 1, 2)
+"""
+
+
+@query(_with(f"""SELECT d.match_id, d.is_home, {', '.join(f"round({_lag(c, w)}, 6) AS {c}_r{w}" for c in ('opp_elo', 'elo_over') for w in form.WINDOWS)},
+  round({_lag('points', 5, 'team, is_home')}, 6) AS venue_points_r5, round({_lag('goal_diff', 5, 'team, is_home')}, 6) AS venue_goal_diff_r5, round(ewma, 6) AS ewma_points,
+  (row_number() OVER (PARTITION BY d.team ORDER BY date, d.match_id) - 1 - count(*) OVER (PARTITION BY d.team ORDER BY epoch(date)::BIGINT RANGE BETWEEN UNBOUNDED PRECEDING AND 1209601 PRECEDING))::INT AS matches_14d,
+  round(sum(points) OVER (PARTITION BY d.team, season ORDER BY date, d.match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) / nullif(row_number() OVER (PARTITION BY d.team, season ORDER BY date, d.match_id) - 1, 0), 6) AS season_ppg
+  FROM der d LEFT JOIN ew ON mid = match_id AND tm = team""", LONG, ELO, _DERIVED))
+def derived_form(s: SparkSession, d: str) -> DataFrame:
+    r = form.derived_form(form.opponent_elo(form.attach_elo(form.long_frame(matches(s, d)), ratings(s, d))))
+    return rounded(r.select("match_id", "is_home", *[f"{c}_r{w}" for c in ("opp_elo", "elo_over") for w in form.WINDOWS], "venue_points_r5", "venue_goal_diff_r5", "ewma_points", "matches_14d", "season_ppg"))
+
+
+@query(_with("SELECT l.match_id, l.is_home, CASE WHEN l.season > f THEN CASE WHEN h.team IS NULL THEN 1.0 ELSE 0.0 END END::DOUBLE AS promoted FROM long l CROSS JOIN (SELECT min(season) AS f FROM long) LEFT JOIN (SELECT DISTINCT league, season + 1 AS season, team FROM long) h ON h.league = l.league AND h.season = l.season AND h.team = l.team", LONG))
+def promoted_teams(s: SparkSession, d: str) -> DataFrame:
+    return form.promoted(form.long_frame(matches(s, d))).select("match_id", "is_home", "promoted")
+
+
+@query(_with(f"""SELECT w.match_id, CASE ftr WHEN 'H' THEN 0 WHEN 'D' THEN 1 ELSE 2 END::INT AS target, h_elo - a_elo AS elo_diff, round(h_p - a_p, 6) AS points_r5_diff, round(h_x - h_y, 6) AS home_net_xg_r5, round(a_g - a_x, 6) AS away_xg_overperformance_r5
+  FROM (SELECT match_id, {', '.join(f"max(CASE WHEN is_home = {1 if sd == 'h' else 0} THEN {c} END) AS {sd}_{a}" for sd in 'ha' for a, c in (('elo', 'elo'), ('p', 'p5'), ('x', 'x5'), ('y', 'y5'), ('g', 'g5'), ('n', 'np')))} FROM
+    (SELECT *, {_lag('points', 5)} AS p5, {_lag('xg_for', 5)} AS x5, {_lag('xg_against', 5)} AS y5, {_lag('goals_for', 5)} AS g5, row_number() OVER (PARTITION BY team ORDER BY date, match_id) - 1 AS np FROM elo2) GROUP BY 1) w
+  JOIN matches m ON m.match_id = w.match_id WHERE h_n >= 5 AND a_n >= 5""", LONG, ELO))
+def features_wide(s: SparkSession, d: str) -> DataFrame:
+    w = form.with_history(form.build_features(matches(s, d), ratings(s, d)))
+    return rounded(w.select("match_id", "target", "elo_diff", "points_r5_diff", "home_net_xg_r5", "away_xg_overperformance_r5"))
+
+
+@query(_with("SELECT match_id, elo_diff FROM (SELECT match_id, max(CASE WHEN is_home = 1 THEN elo END) - max(CASE WHEN is_home = 0 THEN elo END) AS elo_diff, max(season) AS season FROM elo2 GROUP BY 1) WHERE season = 2001", LONG, ELO))
+def scoring_mode(s: SparkSession, d: str) -> DataFrame:
+    m = matches(s, d)
+    pending = m.where("season = 2001").withColumns({c: F.lit(None).cast("double") for c in ("fthg", "ftag", "home_xg", "away_xg")})
+    return form.build_features(m.where("season < 2001"), ratings(s, d), pending).select("match_id", "elo_diff")
+
+
+@query(_with("SELECT match_id, odds_source, round(overround, 6) AS overround, round(1 / odds_H / overround, 6) AS p_mult_H, round(1 / odds_D / overround, 6) AS p_mult_D, round(1 / odds_A / overround, 6) AS p_mult_A FROM market", MARKET))
+def market_multiplicative(s: SparkSession, d: str) -> DataFrame:
+    m = _market(s, d)
+    p = odds.devig_multiplicative([F.col(f"odds_{o}") for o in O])
+    return rounded(m.select("match_id", "odds_source", "overround", *[x.alias(f"p_mult_{o}") for x, o in zip(p, O)]))
+
+
+@query()
+def market_shin(s: SparkSession, d: str) -> DataFrame:
+    m = matches(s, d).select("match_id", "league", "season", "ftr").join(quotes(s, d), "match_id")
+    return odds.market(m).select("match_id", "odds_source", "overround", "shin_z", *[f"p_shin_{o}" for o in O], *[f"p_market_{o}" for o in O])
+
+
+@query(_with("SELECT odds_source, count(*) AS n, round(avg(overround), 6) AS mean_overround, round(quantile_cont(overround, 0.5), 6) AS median_overround, round(quantile_cont(overround, 0.95), 6) AS p95_overround, round(avg(1 / odds_H / overround), 6) AS mean_p_H FROM market WHERE odds_source IS NOT NULL GROUP BY 1", MARKET))
+def market_coverage(s: SparkSession, d: str) -> DataFrame:
+    m = odds.market(matches(s, d).select("match_id", "league", "season", "ftr").join(quotes(s, d), "match_id"))
+    return rounded(overview.market_summary(m).select("odds_source", "n", "mean_overround", "median_overround", "p95_overround", "mean_p_H"))
+
+
+@query(_with("SELECT DISTINCT league, season, name FROM (SELECT league, season, home_team AS name FROM matches UNION ALL SELECT league, season, away_team FROM matches)"))
+def teams_by_group(s: SparkSession, d: str) -> DataFrame:
+    return entity.teams_by_group(matches(s, d))
+
+
+@query(_with("SELECT DISTINCT r.league, y.season, team AS name FROM ratings r JOIN (SELECT DISTINCT season FROM matches) y ON r.from_date <= make_date(season + 1, 5, 31) AND r.to_date >= make_date(season, 8, 1)"))
+def rated_teams(s: SparkSession, d: str) -> DataFrame:
+    return entity.rated_teams(ratings(s, d), matches(s, d).select("season").distinct())
+
+
+def _pairs(s: SparkSession, d: str) -> DataFrame:
+    canon = entity.teams_by_group(matches(s, d)).withColumn("name", F.concat(F.lit("Club "), "name"))
+    raw = canon.withColumn("name", F.concat(F.substring("name", 1, 4), F.lit(". "), F.substring("name", 6, 9)))
+    return entity.resolve_names(canon, raw, "venue")
+
+
+@query()
+def resolve_names(s: SparkSession, d: str) -> DataFrame:
+    return entity.consolidate(_pairs(s, d))
+
+
+@query(_with("SELECT season, league, round(avg(CASE WHEN home_xg IS NOT NULL AND away_xg IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS rate FROM matches GROUP BY 1, 2"))
+def join_rate(s: SparkSession, d: str) -> DataFrame:
+    m = matches(s, d)
+    return rounded(entity.join_rate(entity.join_measurements(m.drop("home_xg", "away_xg"), m.where("home_xg IS NOT NULL"))))
+
+
+@query(_with("SELECT match_id FROM matches WHERE id % 5 = 0 AND home_xg IS NOT NULL"))
+def date_mismatches(s: SparkSession, d: str) -> DataFrame:
+    m = matches(s, d)
+    moved = m.where("home_xg IS NOT NULL").withColumn("date", F.when(F.col("id") % 5 == 0, F.col("date") + F.expr("interval 2 days")).otherwise(F.col("date")))
+    return entity.date_mismatches(entity.join_measurements(m.drop("home_xg", "away_xg"), moved)).select("match_id")
+
+
+@query()
+def venue_match(s: SparkSession, d: str) -> DataFrame:
+    fx = matches(s, d).where("season = 2000").select("match_id", "home_team", "away_team")
+    cand = fx.where(F.xxhash64("match_id") % 3 == 0).select(F.lit("venue_a").alias("source"), F.col("match_id").alias("event"), F.array("home_team", "away_team").alias("sides"), F.xxhash64("match_id").alias("ordinal"), F.lit(0.5).alias("pm_p_H"), F.lit(0.25).alias("pm_p_D"), F.lit(0.25).alias("pm_p_A"))
+    return entity.venue_match(fx, cand)
+
+
+def _ll(pre: str) -> str:
+    c = [f"least(greatest({pre}{o}, 1e-15), 1.0)" for o in O]
+    return f"-ln((CASE y_true WHEN 0 THEN {c[0]} WHEN 1 THEN {c[1]} ELSE {c[2]} END) / ({' + '.join(c)}))"
+
+
+def _summary(keys: str, pre: str = "p_", source: str = "predictions") -> str:
+    top = f"greatest({pre}H, {pre}D, {pre}A)"
+    arg = f"CASE WHEN {pre}H = {top} THEN 0 WHEN {pre}D = {top} THEN 1 ELSE 2 END"
+    return f"""(SELECT {keys}, sum(n)::BIGINT AS n, sum(ll) / sum(n) AS log_loss, sum(br) / sum(n) AS brier, sum(hit) / sum(n) AS accuracy, sum(abs(hit - conf)) / sum(n) AS ece FROM (
+    SELECT {keys}, ceil({top} * 10 - 1e-12) AS b, count(*) AS n, sum({_ll(pre)}) AS ll, sum(pow({pre}H - (y_true = 0)::INT, 2) + pow({pre}D - (y_true = 1)::INT, 2) + pow({pre}A - (y_true = 2)::INT, 2)) AS br, sum(({arg} = y_true)::INT)::DOUBLE AS hit, sum({top}) AS conf
+    FROM {source} GROUP BY ALL) GROUP BY ALL)"""
+
+
+@query(_with(f"SELECT track, model, fold, n, round(log_loss, 6) AS log_loss, round(brier, 6) AS brier, round(accuracy, 6) AS accuracy, round(ece, 6) AS ece FROM {_summary('track, model, fold')}", PREDICTIONS_SQL))
+def metric_summary(s: SparkSession, d: str) -> DataFrame:
+    return rounded(evaluate.metric_summary(predictions(s, d), ["track", "model", "fold"]))
+
+
+@query(_with("SELECT track, model, outcome, ceil(p * 10 - 1e-12)::INT AS bin, count(*) AS n, round(avg(p), 6) AS mean_predicted, round(avg(hit), 6) AS observed_rate FROM (SELECT track, model, unnest(['H', 'D', 'A']) AS outcome, unnest([p_H, p_D, p_A]) AS p, unnest([(y_true = 0)::INT, (y_true = 1)::INT, (y_true = 2)::INT]) AS hit FROM predictions) GROUP BY ALL HAVING n >= 30", PREDICTIONS_SQL))
+def calibration_table(s: SparkSession, d: str) -> DataFrame:
+    return rounded(evaluate.calibration_table(predictions(s, d), ["track", "model"], least=30))
+
+
+_CMP = f"""(SELECT a.track, a.model, a.fold, a.n, a.log_loss AS model_log_loss, b.log_loss AS market_log_loss, c.log_loss AS goal_model_log_loss, a.brier AS model_brier
+  FROM {_summary('track, model, fold')} a JOIN {_summary('track, model, fold', 'p_market_')} b USING (track, model, fold) JOIN {_summary('track, model, fold', 'dc_p_')} c USING (track, model, fold))"""
+
+
+@query(_with(f"SELECT track, model, fold, n, round(model_log_loss, 6) AS model_log_loss, round(market_log_loss, 6) AS market_log_loss, round(goal_model_log_loss, 6) AS goal_model_log_loss, round(model_log_loss - market_log_loss, 6) AS gap_market FROM {_CMP}", PREDICTIONS_SQL))
+def compare_to_market(s: SparkSession, d: str) -> DataFrame:
+    return rounded(evaluate.compare(predictions(s, d)).select("track", "model", "fold", "n", "model_log_loss", "market_log_loss", "goal_model_log_loss", "gap_market"))
+
+
+@query(_with(f"SELECT a.track, a.model, a.league, a.season, a.n, round(a.log_loss, 6) AS log_loss, round(a.log_loss - b.log_loss, 6) AS gap FROM {_summary('track, model, league, season')} a JOIN {_summary('track, model, league, season', 'p_market_')} b USING (track, model, league, season) WHERE a.n >= 50", PREDICTIONS_SQL))
+def breakdown(s: SparkSession, d: str) -> DataFrame:
+    return rounded(evaluate.breakdown(predictions(s, d)).select("track", "model", "league", "season", "n", "log_loss", "gap"))
+
+
+_BETS = """
+bets AS (
+  SELECT *, (y_true = code)::INT::DOUBLE AS won, greatest(0, 0.25 * (p * odds - 1) / (odds - 1)) AS stake_kelly, odds_open / odds - 1 AS clv, p - pm AS edge
+  FROM (SELECT track, model, fold, match_id, y_true, unnest(['H', 'D', 'A']) AS outcome, unnest([0, 1, 2]) AS code, unnest([p_H, p_D, p_A]) AS p, unnest([p_market_H, p_market_D, p_market_A]) AS pm, unnest([odds_H, odds_D, odds_A]) AS odds, unnest([odds_open_H, odds_open_D, odds_open_A]) AS odds_open FROM predictions)
+  WHERE p - pm > 0.02),
+modes AS (SELECT *, 'absolute' AS mode FROM bets WHERE edge > 0.05 UNION ALL SELECT *, 'relative' FROM bets WHERE edge > 0.05 AND (pm <= 0 OR edge / pm > 0.2))
+"""
+
+
+@query(_with("SELECT track, model, match_id, outcome, round(edge, 6) AS edge, round(stake_kelly, 6) AS stake_kelly, round(won * odds - 1, 6) AS profit_flat, round(stake_kelly * (won * odds - 1), 6) + 0.0 AS profit_kelly, round(clv, 6) AS clv FROM bets WHERE edge > 0.05", PREDICTIONS_SQL, _BETS))
+def value_bets(s: SparkSession, d: str) -> DataFrame:
+    return rounded(evaluate.value_bets(predictions(s, d)).select("track", "model", "match_id", "outcome", "edge", "stake_kelly", "profit_flat", "profit_kelly", "clv"))
+
+
+@query(_with("""SELECT g.track, g.model, g.mode, coalesce(n, 0)::BIGINT AS n_bets, round(coalesce(n, 0) / rows, 6) AS bet_rate, round(strike, 6) AS strike_rate, round(roi, 6) AS roi_flat, round(kelly, 6) AS roi_kelly, round(clv, 6) AS mean_clv, round(pos, 6) AS positive_clv_rate
+  FROM (SELECT track, model, unnest(['absolute', 'relative']) AS mode, rows FROM (SELECT track, model, count(*) AS rows FROM predictions GROUP BY ALL)) g
+  LEFT JOIN (SELECT track, model, mode, count(*) AS n, avg(won) AS strike, avg(won * odds - 1) AS roi, sum(stake_kelly * (won * odds - 1)) / nullif(sum(stake_kelly), 0) AS kelly, avg(clv) AS clv, avg(CASE WHEN clv > 0 THEN 1.0 WHEN clv <= 0 THEN 0.0 END) AS pos FROM modes GROUP BY ALL) b ON b.track = g.track AND b.model = g.model AND b.mode = g.mode""", PREDICTIONS_SQL, _BETS))
+def backtest(s: SparkSession, d: str) -> DataFrame:
+    return rounded(evaluate.backtest(predictions(s, d)).select("track", "model", "mode", "n_bets", "bet_rate", "strike_rate", "roi_flat", "roi_kelly", "mean_clv", "positive_clv_rate"))
+
+
+@query(_with("SELECT track, model, t / 100.0::DOUBLE AS threshold, count(*) AS n_bets, round(avg(odds), 6) AS mean_odds, round(avg(won * odds - 1), 6) AS roi_flat FROM bets JOIN range(2, 21) r(t) ON edge > t / 100.0::DOUBLE GROUP BY ALL", PREDICTIONS_SQL, _BETS))
+def roi_by_threshold(s: SparkSession, d: str) -> DataFrame:
+    return rounded(evaluate.roi_by_threshold(predictions(s, d)))
+
+
+@query()
+def bootstrap_roi(s: SparkSession, d: str) -> DataFrame:
+    return evaluate.bootstrap_roi(evaluate.value_bets(predictions(s, d)), ["track", "model"])
+
+
+@query(_with(f"SELECT track, model, round(avg(model_log_loss), 6) AS log_loss, round(avg(market_log_loss), 6) AS market_log_loss, round(avg(model_brier), 6) AS brier, round(avg(model_log_loss - market_log_loss), 6) AS gap, count(*) AS folds FROM {_CMP} GROUP BY 1, 2", PREDICTIONS_SQL))
+def fold_means(s: SparkSession, d: str) -> DataFrame:
+    return rounded(evaluate.fold_means(predictions(s, d)))
+
+
+@query(_with(f"""SELECT fold, round(max(CASE WHEN model = 'linear' THEN model_log_loss END), 6) AS "market_blind/linear", round(max(CASE WHEN model = 'trees' THEN model_log_loss END), 6) AS "market_aware/trees", round(avg(market_log_loss), 6) AS market FROM {_CMP} GROUP BY 1""", PREDICTIONS_SQL))
+def fold_pivot(s: SparkSession, d: str) -> DataFrame:
+    out = evaluate.fold_pivot(predictions(s, d), ["market_blind/linear", "market_aware/trees"])
+    return out.select("fold", *[F.round(F.col(f"`{c}`"), 6).alias(c) for c in out.columns if c != "fold"])
+
+
+@query(_with(f"SELECT track, model, round(avg(log_loss), 6) AS log_loss, count(*) AS folds FROM {_summary('track, model, fold')} GROUP BY 1, 2 ORDER BY avg(log_loss), track, model LIMIT 1", PREDICTIONS_SQL))
+def champion(s: SparkSession, d: str) -> DataFrame:
+    return rounded(evaluate.champion(evaluate.metric_summary(predictions(s, d), ["track", "model", "fold"])))
+
+
+DRIFT_FEATURES = ["fthg", "ftag", "home_xg", "away_xg"]
+_UNP = "u AS (SELECT season, unnest(['fthg', 'ftag', 'home_xg', 'away_xg']) AS feature, unnest([fthg, ftag, home_xg, away_xg]) AS v FROM matches), x AS (SELECT * FROM u WHERE v IS NOT NULL)"
+_PSI = """
+e AS (SELECT feature, list_distinct(list_sort(quantile_cont(v, [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1]))) AS raw, count(*) AS nr FROM x WHERE season < 1997 GROUP BY 1),
+e2 AS (SELECT feature, nr, list_sort(raw) AS q FROM e),
+b AS (SELECT season, x.feature, len(list_filter(q[2:len(q) - 1], lambda z: z <= v)) AS bin, nr, len(q) AS ne FROM x JOIN e2 ON e2.feature = x.feature),
+r AS (SELECT feature, bin, count(*) AS c FROM b WHERE season < 1997 GROUP BY 1, 2),
+cu AS (SELECT season, feature, bin, count(*) AS c FROM b WHERE season >= 1997 GROUP BY 1, 2, 3),
+tot AS (SELECT season, feature, sum(c) AS n FROM cu GROUP BY 1, 2),
+g AS (SELECT t.season, t.feature, t.n, e2.nr, len(q) AS ne, unnest(range(0, greatest(len(q) - 1, 1))) AS bin FROM tot t JOIN e2 ON e2.feature = t.feature),
+psi AS (SELECT g.season, g.feature, CASE WHEN any_value(nr) >= 50 AND any_value(n) >= 50 AND any_value(ne) >= 3 THEN sum((greatest(coalesce(cu.c, 0) / n, 1e-6) - greatest(coalesce(r.c, 0) / nr, 1e-6)) * ln(greatest(coalesce(cu.c, 0) / n, 1e-6) / greatest(coalesce(r.c, 0) / nr, 1e-6))) END AS psi
+  FROM g LEFT JOIN r ON r.feature = g.feature AND r.bin = g.bin LEFT JOIN cu ON cu.season = g.season AND cu.feature = g.feature AND cu.bin = g.bin GROUP BY 1, 2)
+"""
+
+
+@query(_with("SELECT season, feature, round(psi, 6) AS psi FROM psi", _UNP, _PSI))
+def psi(s: SparkSession, d: str) -> DataFrame:
+    m = matches(s, d)
+    return rounded(drift.psi(drift.unpivoted(m.where("season < 1997"), [], DRIFT_FEATURES), drift.unpivoted(m.where("season >= 1997"), ["season"], DRIFT_FEATURES), ["season"]))
+
+
+@query(_with("""SELECT season, feature, round(max(abs(cr / m - cc / n)), 6) AS ks, any_value(m)::BIGINT AS m, any_value(n)::BIGINT AS n FROM (
+  SELECT season, feature, v, sum(r) OVER w AS cr, sum(c) OVER w AS cc, sum(r) OVER (PARTITION BY season, feature) AS m, sum(c) OVER (PARTITION BY season, feature) AS n FROM (
+    SELECT season, feature, v, sum(r) AS r, sum(c) AS c FROM (
+      SELECT s.season, x.feature, v, 1 AS r, 0 AS c FROM x JOIN (SELECT DISTINCT season, feature FROM x WHERE season >= 1997) s ON s.feature = x.feature WHERE x.season < 1997
+      UNION ALL SELECT season, feature, v, 0, 1 FROM x WHERE season >= 1997) GROUP BY 1, 2, 3)
+  WINDOW w AS (PARTITION BY season, feature ORDER BY v)) GROUP BY 1, 2""", _UNP))
+def ks_statistic(s: SparkSession, d: str) -> DataFrame:
+    m = matches(s, d)
+    return rounded(drift.ks(drift.unpivoted(m.where("season < 1997"), [], DRIFT_FEATURES), drift.unpivoted(m.where("season >= 1997"), ["season"], DRIFT_FEATURES), ["season"]).drop("p_value"))
+
+
+@query()
+def feature_drift(s: SparkSession, d: str) -> DataFrame:
+    return drift.feature_drift(matches(s, d), DRIFT_FEATURES, F.col("season") < 1997)
+
+
+@query()
+def drift_summary(s: SparkSession, d: str) -> DataFrame:
+    return drift.drift_summary(drift.feature_drift(matches(s, d), DRIFT_FEATURES, F.col("season") < 1997))
+
+
+@query(_with("""SELECT season, n, round(h / n, 6) AS rate_H, round(chi2, 6) AS chi2, round(exp(-chi2 / 2), 6) AS p_value, exp(-chi2 / 2) < 0.01 AND season >= 1997 AS drifted FROM (
+  SELECT *, pow(h - n * rh, 2) / greatest(n * rh, 1) + pow(dd - n * rd, 2) / greatest(n * rd, 1) + pow(a - n * ra, 2) / greatest(n * ra, 1) AS chi2
+  FROM (SELECT season, count(*) AS n, sum((ftr = 'H')::INT) AS h, sum((ftr = 'D')::INT) AS dd, sum((ftr = 'A')::INT) AS a FROM matches GROUP BY 1), (SELECT avg((ftr = 'H')::INT) AS rh, avg((ftr = 'D')::INT) AS rd, avg((ftr = 'A')::INT) AS ra FROM matches WHERE season < 1997))"""))
+def target_drift(s: SparkSession, d: str) -> DataFrame:
+    return rounded(drift.target_drift(matches(s, d), F.col("season") < 1997).select("season", "n", "rate_H", "chi2", "p_value", "drifted"))
+
+
+@query(_with(f"SELECT a.track, a.model, a.season, a.n, round(a.log_loss, 6) AS log_loss, round(a.ece, 6) AS ece, round(a.log_loss - b.log_loss, 6) AS gap FROM {_summary('track, model, season')} a JOIN {_summary('track, model, season', 'p_market_')} b USING (track, model, season)", PREDICTIONS_SQL))
+def calibration_decay(s: SparkSession, d: str) -> DataFrame:
+    return rounded(drift.calibration_decay(predictions(s, d)).select("track", "model", "season", "n", "log_loss", "ece", "gap"))
+
+
+@query(_with("SELECT match_id, away_xg AS home_xg, home_xg AS away_xg FROM matches"))
+def corrupt_swapped(s: SparkSession, d: str) -> DataFrame:
+    return drift.corrupt_swapped(matches(s, d).select("match_id", "home_xg", "away_xg"), ["home_xg", "away_xg"])
+
+
+@query()
+def stress_input_drift(s: SparkSession, d: str) -> DataFrame:
+    m = matches(s, d)
+    bad = drift.corrupt_schema(drift.corrupt_out_of_bounds(m.where("season = 2000"), ["fthg", "home_xg"]), ["away_xg"])
+    return drift.input_drift(m.where("season < 2000"), bad, DRIFT_FEATURES)
+
+
+@query()
+def stress_alert(s: SparkSession, d: str) -> DataFrame:
+    return drift.alert_reasons(stress_input_drift(s, d), None, 0.0)
+
+
+@query(_with("SELECT 'wf_' || e.season AS fold, CASE WHEN m.season < e.season THEN 'train' ELSE 'eval' END AS role, count(*) AS n FROM matches m JOIN (SELECT DISTINCT season FROM matches) e ON m.season <= e.season WHERE e.season >= 1996 GROUP BY 1, 2"))
+def fold_sizes(s: SparkSession, d: str) -> DataFrame:
+    m = matches(s, d)
+    seasons = sorted(r["season"] for r in m.select("season").distinct().collect())
+    return splits.assign_folds(m, splits.walk_forward(seasons)).groupBy("fold", "role").agg(F.count("*").alias("n"))
+
+
+@query(_with("SELECT season, ftr, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY season), 6) AS share FROM matches GROUP BY 1, 2"))
+def outcome_mix(s: SparkSession, d: str) -> DataFrame:
+    return rounded(overview.outcome_mix(matches(s, d), ["season"]))
+
+
+@query(_with("SELECT season, " + ", ".join(f"sum((league = '{x}')::INT)::BIGINT AS {x}" for x in LEAGUES) + " FROM matches GROUP BY 1"))
+def counts_by_season(s: SparkSession, d: str) -> DataFrame:
+    return overview.counts_by_season(matches(s, d), list(LEAGUES))
+
+
+@query(_with("SELECT unnest(['fthg', 'home_xg', 'away_xg']) AS feature, round(unnest([avg((fthg IS NULL)::INT), avg((home_xg IS NULL)::INT), avg((away_xg IS NULL)::INT)]), 6) AS missing_rate FROM matches"))
+def missing_rates(s: SparkSession, d: str) -> DataFrame:
+    return rounded(overview.missing_rates(matches(s, d), ["fthg", "home_xg", "away_xg"]))
+
+
+@query(_with("SELECT count(*) AS n_asked, (SELECT count(*) FROM matches WHERE date < (SELECT min(date) FROM matches WHERE id % 100 = 7 AND season >= 2000)) AS n_earlier FROM matches WHERE id % 100 = 7 AND season >= 2000"))
+def earlier_history(s: SparkSession, d: str) -> DataFrame:
+    m = matches(s, d)
+    asked, past = models.earlier_history(m, m.where("id % 100 = 7 AND season >= 2000"))
+    return asked.agg(F.count("*").alias("n_asked")).join(past.agg(F.count("*").alias("n_earlier")))
+
+
+@query()
+def leakage_audit(s: SparkSession, d: str) -> DataFrame:
+    rows = form.rolling_form(form.long_frame(matches(s, d)))
+    n = form.leakage_audit(form.wide_frame(rows, ("points_r5",)), rows)
+    return rows.groupBy("league").agg(F.count("*").alias("n_rows"), F.lit(n).alias("n_audited"))
+
+
+@query()
+def goal_rating_fits(s: SparkSession, d: str) -> DataFrame:
+    return goal_ratings.walk_forward_ratings(matches(s, d), first_after=200, every=400)
+
+
+@query()
+def goal_model_features(s: SparkSession, d: str) -> DataFrame:
+    fits = goal_ratings.walk_forward_ratings(matches(s, d), first_after=200, every=400)
+    rows = form.attach_goal_ratings(form.long_frame(matches(s, d)), fits)
+    wide = form.wide_frame(rows, ("attack", "defense", "home_advantage", "rho"))
+    return form.goal_features(wide).select("match_id", "dc_lambda_home", "dc_lambda_away", *[f"dc_p_{o}" for o in O])
+
+
+@query()
+def goal_probabilities(s: SparkSession, d: str) -> DataFrame:
+    m = matches(s, d).where("home_xg IS NOT NULL")
+    lh, la = expected_goals(F.lit(1.0) + F.col("home_xg"), F.lit(1.0), F.lit(1.0) + F.col("away_xg"), F.lit(0.9), F.lit(1.1))
+    return m.select("match_id", match_probabilities(lh, la, F.lit(-0.05)).alias("p")).select("match_id", *[F.col(f"p.{o}").alias(f"dc_p_{o}") for o in O])
+
+
+@query()
+def model_fold(s: SparkSession, d: str) -> DataFrame:
+    wide = form.with_history(form.build_features(matches(s, d), ratings(s, d)))
+    data = wide.join(odds.market(quotes(s, d)), "match_id")
+    return models.run_fold(data, splits.Split("wf_2000", tuple(range(1996, 2000)), (2000,)), "market_aware", "linear", LEAGUES)
