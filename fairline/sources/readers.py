@@ -14,7 +14,7 @@ from fairline.functions.scalar import match_id, parse_date, season_of
 #: Quote prefixes that a results file may carry, and its core columns.
 PREFIXES = ("B365", "PS", "Max", "Avg", "B365C", "PSC", "MaxC", "AvgC", "BbAv", "BbMx")
 CORE = ("Date", "HomeTeam", "AwayTeam", "FTHG", "FTAG", "FTR")
-RESULTS = T.StructType.fromDDL("league string, season int, date date, home_team string, away_team string, fthg double, ftag double, ftr string")
+RESULTS = "league string, season int, date date, home_team string, away_team string, fthg double, ftag double, ftr string"
 
 
 def _header(spark: SparkSession, path: str) -> str:
