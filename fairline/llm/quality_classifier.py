@@ -172,7 +172,7 @@ def score(measured: DataFrame, model: dict) -> DataFrame:
         for b in batches:
             raw = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False)
             # A hundredth of the score follows the ridge score, so that equal calibrated values keep an order.
-            value = 0.99 * np.interp(raw, x, y) + 0.01 * np.clip((raw + 0.5) / 2, 0, 1)
+            value = np.round(0.99 * np.interp(raw, x, y) + 0.01 * np.clip((raw + 0.5) / 2, 0, 1), 9)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(value, pa.float64())], [*names, "score"])
 
     return _raw(measured, model).mapInArrow(run, measured.select(*names).schema.add("score", "double"))
