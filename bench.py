@@ -11,7 +11,7 @@ from fairline.session import session
 
 HEADLINE = (
     "flagship_form_market", "rolling_form", "asof_ratings", "derived_form", "features_wide", "market_multiplicative", "market_shin", "join_rate", "metric_summary",
-    "compare_to_market", "backtest", "roi_by_threshold", "bootstrap_roi", "psi", "ks_statistic", "target_drift", "goal_rating_fits",
+    "compare_to_market", "backtest", "roi_by_threshold", "bootstrap_roi", "psi", "ks_statistic", "target_drift",
 )
 
 
