@@ -5,6 +5,7 @@ Null texts count as empty texts everywhere unless an operator says otherwise.
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import types
@@ -43,6 +44,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote, once all that reads them is written itself."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if not re.search("-[0-9a-f]{32}$", folder):  # not a name that ``stored`` gives
+                raise ValueError(f"not an intermediate table: {folder}")
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keep Arrow batches small, since single texts may be long."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
