@@ -38,7 +38,8 @@ WINDOW_COST = 8
 BLOCK_TOKENS = 1 << 20
 CACHE = 1_000_000
 END_BYTES = END_ID.to_bytes(4, "little")
-MARKS = (b".", b",")
+#: ASCII characters other than letters, digits and white space; the vocabulary's pattern takes a run of them as one piece.
+MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Endings of vocabulary strings that close a sentence.
 SENTENCE_ENDS = (".</w>", "!</w>", "?</w>", "...</w>")
 
@@ -77,39 +78,40 @@ class ChunkIds:
         """Ids of each text, closed by END_ID."""
         if len(self.known) >= CACHE:
             self.known.clear()
-        get, out = self.known.get, []
-        for text in texts:
-            chunks = text.split()
-            ids = list(map(get, chunks))
-            if None in ids:
-                self.learn({c for c, i in zip(chunks, ids) if i is None})
-                ids = map(get, chunks)
-            out.append(np.frombuffer(b"".join([*ids, END_BYTES]), "<u4"))
-        return out
+        get, known = self.known.get, self.known
+        split = [text.split() for text in texts]
+        found = [list(map(get, chunks)) for chunks in split]
+        missing = [[at for at, i in enumerate(ids) if i is None] if None in ids else [] for ids in found]
+        self.learn({chunks[at] for chunks, places in zip(split, missing) for at in places})
+        for chunks, ids, places in zip(split, found, missing):
+            for at in places:
+                ids[at] = known[chunks[at]]
+        return [np.frombuffer(b"".join([*ids, END_BYTES]), "<u4") for ids in found]
 
     def learn(self, chunks: set[bytes]) -> None:
-        """Encode new chunks. A word in capitals has the ids of its small letters; a closing mark adds its own."""
+        """Encode new chunks. A word in capitals has the ids of its small letters; closing marks add their own."""
         known, plain, other = self.known, [], []
         for c in chunks:
-            w = c[:-1] if c[-1:] in MARKS else c
-            small = small_letters(w)
+            w = c.rstrip(MARKS)
+            small = None if b"<|" in c else small_letters(w)
             if small is None:
                 other.append(c)
             else:
                 plain.append((c, small, c[len(w) :]))
-        self.encode_new([c for c in {*(w for _, w, _ in plain), *MARKS, *other} if c not in known])
-        for c, w, mark in plain:
-            known[c] = known[w] + known[mark] if mark else known[w]
+        self.encode_new([c for c in {*(w for _, w, _ in plain), *(m for _, _, m in plain if m), *other} if c not in known])
+        for c, w, marks in plain:
+            known[c] = known[w] + known[marks] if marks else known[w]
 
     def encode_new(self, new: list[bytes]) -> None:
         """Many chunks a call, set apart by an added token, which the library cuts out before all else."""
         odd = [c for c in new if b"<|" in c]
-        for c, e in zip(odd, self.lib.encode_batch_fast([c.decode() for c in odd], add_special_tokens=False)):
+        for c, e in zip(odd, odd and self.lib.encode_batch_fast([c.decode() for c in odd], add_special_tokens=False)):
             self.known[c] = array("I", e.ids).tobytes()
         rest = [c for c in new if b"<|" not in c]
         for at in range(0, len(rest), 500):
             some = rest[at : at + 500]
-            ids = np.array(self.lib.encode(self.apart.join([c.decode() for c in some]), add_special_tokens=False).ids, "<u4")
+            (found,) = self.lib.encode_batch_fast([self.apart.join([c.decode() for c in some])], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
             ends = np.flatnonzero(ids == self.apart_id).tolist()
             raw = ids.tobytes()
             for c, i, j in zip(some, [-1, *ends], [*ends, len(ids)]):
