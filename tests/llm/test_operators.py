@@ -195,6 +195,30 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup.dedup_lines(empty.drop("removed")).count() == 0
 
 
+def test_line_dedup_short_lines(spark):
+    notice, five = "All rights reserved.", "one two three four five"
+    texts = [
+        f"{notice}\n\none\none two three four\n{five}",
+        f"{notice}\n\none two\nOne\n{five}\none  two\tthree four",
+        f"one\n{notice} Now\nrights All reserved.\nthree four five\n\n  \n{five} six\none two",
+        f"{notice}\n{notice}",
+        f"{notice}\nnew here\nnew here",
+    ]
+    want, seen = {}, []
+    for k, t in enumerate(texts):
+        want[k] = []
+        for i, line in enumerate(t.split("\n")):
+            w = line.encode().split()
+            s = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+            if s and any(len(s & x) * 9 >= 4 * (len(s) + len(x)) for x in seen):
+                want[k].append(i)
+            seen += [s] * bool(s)
+    assert want == {0: [], 1: [0, 4, 5], 2: [0, 7], 3: [0, 1], 4: [0, 2]}
+    got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["removed"] for r in got} == want
+    assert {r["doc_id"]: r["text"] for r in got}[1] == "\none two\nOne"
+
+
 def test_line_dedup_near_groups(spark):
     r = random.Random(9)
     base = [f"w{i}" for i in range(60)]
