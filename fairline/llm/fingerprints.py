@@ -29,6 +29,8 @@ K = 128
 ROWS_PER_RANGE = 4000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _WORDS = 400_000
+#: Groups whose sketches a task of a merge holds at once.
+HELD_GROUPS = 10_000
 
 
 class _WordHashes(dict):
@@ -120,28 +122,47 @@ def merge_fingerprints(parts: DataFrame, by: str, column: str = "fingerprint", k
     """One sketch per group of parts: hashes are exploded, made distinct, and the k smallest kept.
 
     Every task first cuts its own groups to k hashes, so a hot group moves k hashes per task.
+    A task that holds ``HELD_GROUPS`` groups passes them on, so a group may leave it in several
+    sketches; the rows of a group then come sorted to one task, which merges until the group changes.
     """
 
     def local(batches):
         held: dict = {}
         for b in batches:
             for g, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if g not in held and len(held) >= 10_000:
-                    yield out(held)
+                if g not in held and len(held) >= most:
+                    yield out(held.items())
                     held = {}
                 new = from_string(s or "")
                 held[g] = merged(held[g], new, k) if g in held else new[:k]
-        yield out(held)
+        yield out(held.items())
 
-    def out(held):
-        return pa.RecordBatch.from_arrays([pa.array(list(held), kind), pa.array([to_string(x) for x in held.values()], pa.string())], [by, column])
+    def whole(batches):
+        group, now, done = None, None, []
+        for b in batches:
+            for g, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                new = from_string(s or "")
+                if now is not None and (g == group or g != g and group != group):  # NaN is one group
+                    now = merged(now, new, k)
+                    continue
+                if now is not None:
+                    done.append((group, now))
+                group, now = g, new[:k]
+                if len(done) >= most:
+                    yield out(done)
+                    done = []
+        yield out(done if now is None else [*done, (group, now)])
+
+    def out(pairs):
+        return pa.RecordBatch.from_arrays([pa.array([g for g, _ in pairs], kind), pa.array([to_string(x) for _, x in pairs], pa.string())], [by, column])
 
     from pyspark.sql.pandas.types import to_arrow_type
 
+    most = HELD_GROUPS
     schema = parts.select(by, column).schema
     kind = to_arrow_type(schema[by].dataType)
     cut = parts.select(by, column).mapInArrow(local, schema)
-    return cut.repartition(F.col(by)).mapInArrow(local, schema).groupBy(by).agg(F.max(column).alias(column))
+    return cut.repartition(F.col(by)).sortWithinPartitions(by).mapInArrow(whole, schema)
 
 
 def in_descending_order(docs: DataFrame, key: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:

@@ -67,6 +67,19 @@ def test_fingerprints(docs, empty):
     assert whole == fingerprints.to_string(every)
 
 
+def test_merge_of_more_groups_than_a_task_holds(spark):
+    n, r = 10_500, np.random.default_rng(3)
+    hashes = r.integers(0, 2**63, (n, 3), dtype=np.uint64)
+    # every group comes three times, each time after all the other groups; one hash is shared by two parts
+    parts = [(g, fingerprints.to_string(np.unique(hashes[g, [i, (i + 1) % 2]]))) for i in range(3) for g in range(n)]
+    parts += [(None, fingerprints.to_string(hashes[0, :1])), (None, None), (None, fingerprints.to_string(hashes[1, :1]))]
+    rows = fingerprints.merge_fingerprints(spark.createDataFrame(parts, "g long, fingerprint string").coalesce(1), "g").collect()
+    got = {x["g"]: x["fingerprint"] for x in rows}
+    assert len(rows) == len(got) == n + 1
+    assert all(got[g] == fingerprints.to_string(np.unique(hashes[g])) for g in range(n))
+    assert got[None] == fingerprints.to_string(np.unique(hashes[:2, 0]))
+
+
 def test_bpe_round_trip(docs, empty):
     from tokenizers import Tokenizer
 
