@@ -399,12 +399,12 @@ def leakage_audit(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def goal_rating_fits(s: SparkSession, d: str) -> DataFrame:
-    return goal_ratings.walk_forward_ratings(matches(s, d), first_after=200, every=400)
+    return goal_ratings.walk_forward_ratings(matches(s, d))
 
 
 @query()
 def goal_model_features(s: SparkSession, d: str) -> DataFrame:
-    fits = goal_ratings.walk_forward_ratings(matches(s, d), first_after=200, every=400)
+    fits = goal_ratings.walk_forward_ratings(matches(s, d))
     rows = form.attach_goal_ratings(form.long_frame(matches(s, d)), fits)
     wide = form.wide_frame(rows, ("attack", "defense", "home_advantage", "rho"))
     return form.goal_features(wide).select("match_id", "dc_lambda_home", "dc_lambda_away", *[f"dc_p_{o}" for o in O])
