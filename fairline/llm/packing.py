@@ -71,8 +71,10 @@ class ChunkIds:
         self.apart = token.content
         self.known: dict[bytes, bytes] = {}
         self.ends = np.zeros(self.lib.get_vocab_size(True) + 1, bool)
+        self.closes = np.zeros_like(self.ends)
         for name, i in self.lib.get_vocab(True).items():
             self.ends[i] = name.endswith(SENTENCE_ENDS)
+            self.closes[i] = name.endswith("</w>")
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text, closed by END_ID."""
@@ -98,10 +100,25 @@ class ChunkIds:
                 other.append(c)
             else:
                 plain.append((c, small, c[len(w) :]))
-        self.encode_new([c for c in {*(w for _, w, _ in plain), *(m for _, _, m in plain if m), *other} if c not in known])
+        self.encode_words([w for w in {w for _, w, _ in plain} if w not in known])
+        self.encode_new([c for c in {*(m for _, _, m in plain if m), *other} if c not in known])
         for c, w, marks in plain:
             known[c] = known[w] + known[marks] if marks else known[w]
 
+    def encode_words(self, new: list[bytes]) -> None:
+        """Many words of letters a call, set apart by spaces: each has one token that closes a word, its last."""
+        for at in range(0, len(new), 500):
+            some = new[at : at + 500]
+            (found,) = self.lib.encode_batch_fast([" ".join([w.decode() for w in some])], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            ends = (np.flatnonzero(self.closes[ids]) + 1).tolist()
+            if len(ends) != len(some) or ends[-1] != len(ids):  # a letter that the file's pattern does not take for one
+                self.encode_new(some)
+                continue
+            raw = ids.tobytes()
+            for w, i, j in zip(some, [0, *ends], ends):
+                self.known[w] = raw[4 * i : 4 * j]
+
     def encode_new(self, new: list[bytes]) -> None:
         """Many chunks a call, set apart by an added token, which the library cuts out before all else."""
         odd = [c for c in new if b"<|" in c]
@@ -124,7 +141,7 @@ def cuts(pos: np.ndarray, penalty: np.ndarray, size: int = SIZE) -> list[int]:
     at, pen = pos.tolist(), penalty.tolist()
     exact: dict[int, list[int]] = {}
     p = size >> 1
-    while p >= max(1, size >> 4):
+    while p:
         i = np.searchsorted(pos, pos - p)
         for j in np.flatnonzero((pos >= p) & (pos[np.minimum(i, n - 1)] == pos - p)).tolist():
             exact.setdefault(j, []).append(int(i[j]))

@@ -130,6 +130,34 @@ def test_cuts_are_optimal():
         assert cost(packing.cuts(pos, pen, 16)) == best
 
 
+def test_cuts_are_optimal_at_full_size():
+    size = packing.SIZE
+    for seed in range(40):
+        r = np.random.default_rng(seed)
+        steps = r.choice([1, 2, 16, 48, 64, 128, 200, 256, 1000, 2048, 4000], 60)
+        pos = np.concatenate([[0], np.cumsum(steps)])
+        pen = r.choice([0, packing.CUT_PENALTY], len(pos))
+        spent, best = lambda n: 0 if n & (n - 1) == 0 else size - n, [0]
+        for j in range(1, len(pos)):
+            best.append(min(best[i] + spent(int(pos[j] - pos[i])) for i in range(j) if pos[j] - pos[i] <= size) + int(pen[j]) + packing.WINDOW_COST)
+        ends = packing.cuts(pos, pen)
+        assert ends[-1] == len(pos) - 1
+        assert sum(spent(int(pos[j] - pos[i])) + int(pen[j]) + packing.WINDOW_COST for i, j in zip([0, *ends], ends)) == best[-1]
+
+
+def test_chunk_ids_of_hard_words():
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(packing.vocabulary_path())
+    kept = packing.ChunkIds(packing.vocabulary_path())
+    letters = [chr(i) for i in range(0x41, 0x30000) if chr(i).isalpha()]
+    words = [*letters[:3000], *letters[3000::97], *("".join(R.choice(letters) for _ in range(R.randint(1, 6))) for _ in range(3000)), "don't", "it's.", "e\u0301t\u00e9", "\u03a3\u03a3", "\u1100\u1161", "İstanbul!", "a<|endoftext|>b"]
+    R.shuffle(words)
+    texts = [" ".join(words[i : i + 50]) for i in range(0, len(words), 50)]
+    for t, ids in zip(texts, kept.encode([t.encode() for t in texts])):
+        assert ids.tolist() == [*lib.encode(t, add_special_tokens=False).ids, 2]
+
+
 def test_quality_rules(docs, empty):
     for r in quality_rules.ledger(quality_rules.measure(docs)).collect():
         t = TEXTS[r["doc_id"]]
@@ -193,7 +221,7 @@ def test_sharding(docs, empty):
 
 
 def test_line_dedup(spark, docs, empty):
-    kept, want, seen = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs.drop("removed")).collect()}, {}, []
+    kept, want, seen = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}, {}, []
     for k in sorted(TEXTS):
         out = []
         for line in TEXTS[k].split("\n"):
@@ -205,7 +233,7 @@ def test_line_dedup(spark, docs, empty):
                 seen.append(s)
         want[k] = "\n".join(out)
     assert {k: v or "" for k, v in kept.items()} == want and kept[0] is None
-    assert line_dedup.dedup_lines(empty.drop("removed")).count() == 0
+    assert line_dedup.dedup_lines(empty).count() == 0
 
 
 def test_line_dedup_short_lines(spark):
@@ -248,6 +276,14 @@ def test_line_dedup_near_groups(spark):
         assert bool(got[i]) == any(len(s & x) * 9 >= 4 * (len(s) + len(x)) for x in sets[:i])
 
 
+def test_line_dedup_repeated_ids_and_clashing_names(spark):
+    long = "one two three four five six seven eight nine ten eleven"
+    rows = [(0, long, "c", "d", 1), (1, f"{long}\nkept", "c", "d", 2), (1, "totally different words in here now\nother", "c", "d", 3), (2, None, "c", "d", 4), (3, f"x\n{long} twelve", "c", "d", 5), (3, f"x\n{long} twelve", "c", "d", 5)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, removed string, __maybe string, at long"), removed="gone").collect()
+    assert sorted((r["at"], r["text"], r["gone"], r["removed"]) for r in got if r["text"]) == [(1, long, [], "c"), (2, "kept", [0], "c"), (3, "totally different words in here now\nother", [], "c"), (5, "x", [1], "c"), (5, "x", [1], "c")]
+    assert len(got) == 6
+
+
 def test_licenses(docs, empty):
     got = {(r["doc_id"], r["license"]): r["containment"] for r in licenses.scan(docs).collect()}
     assert got == {(max(k for k, t in TEXTS.items() if "Apache" in t), "apache-2.0"): 1.0}
