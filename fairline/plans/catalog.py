@@ -252,9 +252,9 @@ modes AS (SELECT *, 'absolute' AS mode FROM bets WHERE edge > 0.05 UNION ALL SEL
 """
 
 
-@query(_with("SELECT track, model, match_id, outcome, round(edge, 6) AS edge, round(stake_kelly, 6) AS stake_kelly, round(won * odds - 1, 6) AS profit_flat, round(stake_kelly * (won * odds - 1), 6) + 0.0 AS profit_kelly, round(clv, 6) AS clv FROM bets WHERE edge > 0.05", PREDICTIONS_SQL, _BETS))
+@query(_with("SELECT track, model, match_id, outcome, round(edge, 9) AS edge, round(stake_kelly, 9) AS stake_kelly, round(won * odds - 1, 9) AS profit_flat, round(stake_kelly * (won * odds - 1), 9) + 0.0 AS profit_kelly, round(clv, 9) AS clv FROM bets WHERE edge > 0.05", PREDICTIONS_SQL, _BETS))
 def value_bets(s: SparkSession, d: str) -> DataFrame:
-    return rounded(evaluate.value_bets(predictions(s, d)).select("track", "model", "match_id", "outcome", "edge", "stake_kelly", "profit_flat", "profit_kelly", "clv"))
+    return rounded(evaluate.value_bets(predictions(s, d)).select("track", "model", "match_id", "outcome", "edge", "stake_kelly", "profit_flat", "profit_kelly", "clv"), 9)
 
 
 @query(_with("""SELECT g.track, g.model, g.mode, coalesce(n, 0)::BIGINT AS n_bets, round(coalesce(n, 0) / rows, 6) AS bet_rate, round(strike, 6) AS strike_rate, round(roi, 6) AS roi_flat, round(kelly, 6) AS roi_kelly, round(clv, 6) AS mean_clv, round(pos, 6) AS positive_clv_rate
