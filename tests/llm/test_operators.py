@@ -220,6 +220,21 @@ def test_sharding(docs, empty):
     assert m.sum(1).tolist() == [5, 0, 9, 3] and sorted(m.sum(0).tolist()) == [4, 4, 4, 5]
 
 
+def test_sharding_spreads_copies(spark):
+    ids = [7] * 2000 + [None] * 400 + list(range(1600))
+    rows = spark.createDataFrame([(i, "x", 9) for i in ids], "doc_id long, shard string, slot long").repartition(5)
+    got = sharding.uniform_shards(rows, 40).collect()
+    assert [*got[0].asDict()] == ["doc_id", "shard", "slot"] and collections.Counter(r["doc_id"] for r in got) == collections.Counter(ids)
+    slots = collections.defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append((r["slot"], r["doc_id"] == 7))
+    assert all(sorted(s for s, _ in v) == list(range(100)) for v in slots.values()) and len(slots) == 40
+    # copies make half of the rows: each shard holds about 50, and they lie all over it
+    held = [[s for s, copy in v if copy] for v in slots.values()]
+    assert all(20 <= len(h) <= 80 and max(h) - min(h) > 70 for h in held)
+    assert sum((len(h) - 50) ** 2 / 25 for h in held) < 100  # 39 degrees of freedom
+
+
 def test_line_dedup(spark, docs, empty):
     kept, want, seen = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}, {}, []
     for k in sorted(TEXTS):
