@@ -8,6 +8,9 @@ its little-endian hashes, ascending.
 
 Null and empty texts have the empty sketch "". Two empty sketches resemble each
 other fully, an empty and a filled one not at all. Repeated rows get equal sketches.
+Rows of one doc_id (null ids come last) follow each other by text, descending, so edited texts
+do not depend on how rows lie in partitions. An empty table gives an empty result; columns other
+than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -165,13 +168,14 @@ def merge_fingerprints(parts: DataFrame, by: str, column: str = "fingerprint", k
     return cut.repartition(F.col(by)).sortWithinPartitions(by).mapInArrow(whole, schema)
 
 
-def in_descending_order(docs: DataFrame, key: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """Deal rows to key ranges, each with a copy of the row that follows its last one.
+def in_descending_order(docs: DataFrame, key: str, text: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """Deal rows of (key, text) to key ranges, each with a copy of the row that follows its last one.
 
-    Adds ``__range`` and ``__own`` (false for the copy) and sorts each range by key,
-    descending, nulls last. Range bounds are quantiles of the key: one number per range
+    Null texts become empty. Adds ``__range`` and ``__own`` (false for the copy) and sorts each
+    range by key, then text, descending, null keys last. Range bounds are quantiles of the key: one number per range
     reaches the driver, as with any range partitioning. The row after the last is the first.
     """
+    docs = docs.select(key, F.coalesce(text, F.lit("")).alias(text))
     n = docs.count()
     parts = max(1, -(-n // rows_per_range))
     cuts = sorted(set(docs.approxQuantile(key, [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
@@ -183,12 +187,12 @@ def in_descending_order(docs: DataFrame, key: str, rows_per_range: int = ROWS_PE
         return ranged.withColumn("__own", F.lit(True))
     order = sorted((h["__range"] for h in heads), reverse=True)
     first = {h["__range"]: h["__head"] for h in heads}
-    follows = [(first[r], order[i - 1]) for i, r in enumerate(order) if first[r] is not None]
+    follows = [(first[r], order[i - 1]) for i, r in enumerate(order)]
     copies = docs.sparkSession.createDataFrame(follows, f"__k {docs.schema[key].dataType.simpleString()}, __range int")
-    # The copies of range heads: at most one row per range.
-    halo = docs.join(F.broadcast(copies), docs[key] == copies["__k"], "inner").drop("__k").dropDuplicates([key])
+    # The copies of range heads, the largest text of a range's largest key: one row per range.
+    halo = docs.join(F.broadcast(copies), docs[key].eqNullSafe(copies["__k"])).groupBy(F.col("__k").alias(key), "__range").agg(F.max(text).alias(text))
     both = ranged.withColumn("__own", F.lit(True)).unionByName(halo.withColumn("__own", F.lit(False)))
-    return both.repartition(parts, "__range").sortWithinPartitions("__range", F.desc("__own"), F.desc_nulls_last(key))
+    return both.repartition(parts, "__range").sortWithinPartitions("__range", F.desc("__own"), F.desc_nulls_last(key), F.desc(text))
 
 
 def _range_of(docs: DataFrame, key: str, bounds: list[int]):
@@ -240,7 +244,7 @@ def with_edits(docs: DataFrame, k: int = K) -> DataFrame:
         }
 
     out = pa.schema([(f.name, {"bigint": pa.int64(), "string": pa.string(), "double": pa.float64()}[f.dataType.simpleString()]) for f in schema])
-    return in_descending_order(docs.select("doc_id", "text"), "doc_id").select("doc_id", "text", "__range", "__own").mapInArrow(run, schema)
+    return in_descending_order(docs, "doc_id", "text").select("doc_id", "text", "__range", "__own").mapInArrow(run, schema)
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

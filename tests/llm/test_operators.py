@@ -67,6 +67,18 @@ def test_fingerprints(docs, empty):
     assert whole == fingerprints.to_string(every)
 
 
+@pytest.mark.parametrize("ids", [[None, None, None], [3, 3, 3, 1], [None, 9, None, 9, 2], [None, None, *range(9000)]])
+def test_fingerprints_of_null_and_repeated_ids(spark, ids):
+    rows = [(k, None if i == 1 else f"text {i % 7} " + "w " * (i % 5)) for i, k in enumerate(ids)]
+    got = fingerprints.with_edits(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    order = sorted(((k is not None, k or 0, (t or "").encode(), k, t or "") for k, t in rows), key=lambda x: x[:3], reverse=True)
+    want = []
+    for i, (*_, k, t) in enumerate(order):
+        edited = t[: len(t) - len(t) // 3] + order[(i + 1) % len(order)][4][: len(t) // 3]
+        want.append((k, len(t), hashlib.sha256(edited.encode()).hexdigest()))
+    assert collections.Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == collections.Counter(want)
+
+
 def test_merge_of_more_groups_than_a_task_holds(spark):
     n, r = 10_500, np.random.default_rng(3)
     hashes = r.integers(0, 2**63, (n, 3), dtype=np.uint64)
