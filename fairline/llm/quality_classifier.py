@@ -8,7 +8,9 @@ calibrated by pool-adjacent-violators over ``BINS`` bins.
 
 Null and empty texts have all-zero statistics and get a score like any other. Repeated rows
 score alike. Without any usable label every score is 0.5; with labels of one kind only,
-every score is that label's rate. An empty table gives an empty result.
+every score is that label's rate. An empty table gives an empty result. Rows of a null doc_id
+are scored but never learned from. Other columns are not read, whatever their names; columns that
+are kept must not be named ``stats``, ``y``, ``cal``, ``raw`` or ``score``.
 """
 
 from __future__ import annotations
@@ -178,9 +180,9 @@ def score(measured: DataFrame, model: dict) -> DataFrame:
     return _raw(measured, model).mapInArrow(run, measured.select(*names).schema.add("score", "double"))
 
 
-def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, score) for every document; labels and ids never enter a score."""
-    measured = stored(measure(docs), "statistics")
+def scored(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, columns ``keep``, score) for every document; only the text enters a score."""
+    measured = stored(measure(docs, keep=("doc_id", *keep)), "statistics")
     return score(measured, fit(measured, labels))
 
 

@@ -10,7 +10,9 @@ more than ``CHUNK`` fingerprints are dealt to chunk pairs; each task links its c
 by a spanning forest, so no group's pairs are all emitted and every link is kept.
 
 Null, empty and blank texts have the zero fingerprint and link like any other. Rows with
-a null doc_id take part; a component of such rows alone has a null id.
+a null doc_id take part; a component of such rows alone has a null id. Repeated rows stay rows of
+their own. An empty table gives an empty result. Other columns are not read, whatever their names;
+columns that are kept must not be named like the result.
 """
 
 from __future__ import annotations
@@ -49,16 +51,16 @@ def simhash(text: bytes) -> int:
     return int(np.packbits(count * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def simhashes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, fp): the fingerprint as a signed long."""
+def simhashes(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, columns ``keep``, fp): the fingerprint as a signed long."""
     bounded_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            fp = np.array([simhash(t) for t in as_bytes(b.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], [key, "fp"])
+            fp = np.array([simhash(t) for t in as_bytes(b.column(b.num_columns - 1))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp, pa.int64())], [key, *keep, "fp"])
 
-    return docs.select(key, F.col(text).alias("__text")).mapInArrow(run, docs.select(key).schema.add("fp", "long"))
+    return docs.select(key, *keep, F.col(text).alias("__text")).mapInArrow(run, docs.select(key, *keep).schema.add("fp", "long"))
 
 
 def variants(fp: str = "fp"):
@@ -107,15 +109,15 @@ def links(fps: DataFrame) -> DataFrame:
     return groups.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, fp, component_id): component_id is the smallest key that links reach."""
-    found = stored(simhashes(docs, text, key), "simhash")
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, columns ``keep``, fp, component_id, component_fp): the smallest key, and the smallest fingerprint, that links reach."""
+    found = stored(simhashes(docs, text, key, keep), "simhash")
     first = found.groupBy("fp").agg(F.min(key).alias("first"))
     labels = components(links(first.select("fp")), "a", "b")
     named = first.join(labels, first["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     named = stored(named, "simhash-labels")
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    return found.join(named.join(least, "label").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
+    return found.join(named.join(least, "label").select("fp", "component_id", F.col("label").alias("component_fp")), "fp").select(key, *keep, "fp", "component_id", "component_fp")
 
 
 def hex64(column: str):
