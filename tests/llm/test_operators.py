@@ -369,3 +369,36 @@ def test_pipeline_stages(spark):
     nothing = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for name in ("quality_rules", "line_dedup", "simhash_dedup"):
         assert stages[name](spark, nothing, sf).count() == 0
+
+
+def test_pipeline_of_null_repeated_and_clashing(spark, tmp_path):
+    import corpus_pipeline
+
+    good, other = (" ".join(f"{w}{i}" for i in range(60)) for w in ("word", "thing"))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_words string, failed_bits string, removed string, fp string, score string"
+    data = [(k, t, "en", "s", 0, "a", "b", "c", "d", "e") for k, t in [(1, good), (1, good), (1, other), (1, "bad"), (None, good), (None, "bad"), (None, None), (2, ""), (3, other + " tail"), (None, "x " * 400)]]
+    docs = spark.createDataFrame(data, schema).repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = lambda d: collections.Counter((r["doc_id"], r["text"]) for r in d.collect())
+    ruled = stages["quality_rules"](spark, docs, str(tmp_path))
+    assert ruled.columns == docs.columns
+    assert rows(ruled) == collections.Counter([(1, good), (1, good), (1, other), (None, good), (3, other + " tail")])
+    assert rows(stages["quality_classifier"](spark, ruled, str(tmp_path))) == rows(ruled)
+    lined = stages["line_dedup"](spark, docs, str(tmp_path))
+    assert lined.columns == docs.columns and {r["removed"] for r in lined.collect()} == {"c"} and lined.count() == docs.count()
+    deduped = stages["simhash_dedup"](spark, ruled, str(tmp_path))
+    assert deduped.columns == docs.columns
+    # brute force: components of fingerprints within four bits, then the first row of each
+    keys = sorted(rows(ruled), key=lambda x: (x[0] is None, x[0] or 0))
+    fps = [simhash.simhash(t.encode()) for _, t in keys]
+    label = list(range(len(keys)))
+    for i, j in itertools.combinations(range(len(keys)), 2):
+        if (fps[i] ^ fps[j]).bit_count() <= 4:
+            label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    got = rows(deduped)
+    assert set(got.values()) == {1} and len(got) == len(set(label))
+    assert sorted(label[keys.index(k)] for k in got) == sorted(set(label))
+    nothing = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, str(tmp_path)).count() == 0
