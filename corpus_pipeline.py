@@ -64,13 +64,11 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     best = named.groupBy("component_fp").agg(F.min("__place").alias("__first"))
     rows = named.join(best, "component_fp").groupBy("__place").agg(F.min("__first").alias("__first"), F.count("*").alias("__n"))
     rows = stored(rows.where((F.col("__place") != F.col("__first")) | (F.col("__n") > 1)), "simhash-rows")
-    later = rows.where("__place != __first").select("__place.doc_id", "__place.__hash")
+    single = _without(docs, rows.select("__place.doc_id", "__place.__hash"))
+    # Equal rows that are the first of their component: one of each stays.
     again = rows.where("__place = __first").select(F.col("__place.doc_id").alias("__id"), "__place.__hash")
-    kept = _without(docs, later)
-    # Equal rows that are the first of their component: marked, and one of each stays.
-    told = kept.withColumn("__key", F.xxhash64("text")).join(again, kept["doc_id"].eqNullSafe(again["__id"]) & (F.col("__key") == again["__hash"]), "left")
-    single = told.where("__hash IS NULL").select(*docs.columns)
-    return single.unionByName(told.where("__hash IS NOT NULL").dropDuplicates(["doc_id", "__key"]).select(*docs.columns))
+    same = docs["doc_id"].eqNullSafe(again["__id"]) & (F.xxhash64(docs["text"]) == again["__hash"])
+    return single.unionByName(docs.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
