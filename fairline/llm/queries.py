@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fairline.llm import bpe, fingerprints, licenses, line_dedup, packing, quality_classifier, quality_rules, repair, sharding, simhash, warc
+from fairline.llm import bpe, fingerprints, licenses, line_dedup, packing, prefix_trie, quality_classifier, quality_rules, repair, sharding, simhash, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_licenses": licenses.op8_licenses,
     "op9_warc": warc.op9_warc,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_repair": repair.op12_repair,
 }
 
@@ -22,5 +23,6 @@ ORACLE_SQL = {
     "op3_quality_rules": quality_rules.OP3_SQL,
     "op8_licenses": licenses.OP8_SQL,
     "op9_warc": warc.OP9_SQL,
+    "op11_prefix_trie": prefix_trie.OP11_SQL,
     "op12_repair": repair.OP12_SQL,
 }
