@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fairline.llm import bpe, fingerprints, licenses, line_dedup, packing, prefix_trie, quality_classifier, quality_rules, repair, sharding, simhash, warc
+from fairline.llm import bpe, fingerprints, licenses, line_dedup, packing, prefix_trie, quality_classifier, quality_rules, repair, sharding, simhash, toxicity, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_repair": repair.op12_repair,
+    "op13_toxicity": toxicity.op13_toxicity,
 }
 
 ORACLE_SQL = {
