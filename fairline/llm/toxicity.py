@@ -7,7 +7,7 @@ dictionary saves more than the ordinary one tells how toxic a window reads. The
 over each threshold of saved bytes are calibrated to a score by a ridge-penalised logistic fit on labelled
 rows that the dictionaries did not see.
 
-Dictionaries are trained on at most ``SAMPLE_ROWS`` labelled rows of either kind and ``SAMPLE_BYTES`` of their
+Dictionaries are trained on at most ``SAMPLE_ROWS`` labelled labels of either kind and ``SAMPLE_BYTES`` of their
 text, the thresholds on at most ``CALIBRATION_ROWS``, all in the order of a hash; every document is scored,
 over its whole text, in parts of bounded size. Null texts are empty; empty and blank texts have one empty
 window and get a score like any other. Repeated rows score alike. A label given twice weighs its row twice.
@@ -193,7 +193,9 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _sampled(docs: DataFrame, usable: DataFrame) -> dict[int, list[bytes]]:
     """Texts of both kinds to train on, at most SAMPLE_ROWS and SAMPLE_BYTES of each."""
     found: dict[int, list[bytes]] = {0: [], 1: []}
-    rows = docs.select("doc_id", "text").join(usable.where("NOT calibrates"), "doc_id")
+    # The labels are drawn first, so that only they are broadcast and no text is shuffled; the limits below hold for repeated ids too.
+    drawn = [usable.where(F.col("y") == kind).where("NOT calibrates").orderBy("place").limit(SAMPLE_ROWS) for kind in found]
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id")
     for kind in found:
         order = rows.where(F.col("y") == kind).select("place", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), "text")
         sizes = order.select("place", "tie", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).orderBy("place", "tie").limit(SAMPLE_ROWS).collect()
@@ -216,7 +218,8 @@ def scored(docs: DataFrame, labels: DataFrame, learn: Column | None = None, keep
     if rate is None or rate in (0.0, 1.0) or not all(sample.values()):
         return docs.select("doc_id", *keep, F.lit(0.5 if rate is None else float(rate)).alias("score"))
     measured = stored(measure(docs, dictionaries(sample[1], sample[0]), keep=("doc_id", *keep)), "toxic-windows")
-    held = measured.select("doc_id", "windows").join(usable.where("calibrates"), "doc_id").orderBy("place").limit(CALIBRATION_ROWS).select("windows", "y").collect()
+    drawn = usable.where("calibrates").orderBy("place").limit(CALIBRATION_ROWS)
+    held = measured.select("doc_id", "windows").join(F.broadcast(drawn), "doc_id").orderBy("place").limit(CALIBRATION_ROWS).select("windows", "y").collect()
     y = np.array([r["y"] for r in held], float)
     w = logistic(np.array([r["windows"] for r in held]), y) if len(held) and 0 < y.mean() < 1 else np.r_[np.zeros(STATISTICS), np.log(rate / (1 - rate))]
     z = sum((F.col("windows")[i] * float(w[i]) for i in range(STATISTICS)), F.lit(float(w[-1])))
