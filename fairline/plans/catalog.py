@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from fairline.functions import odds, scalar
 from fairline.functions.goals import expected_goals, match_probabilities
-from fairline.operators import drift, entity, evaluate, form, goal_ratings, models, overview, splits
+from fairline.operators import deploy, drift, entity, evaluate, form, goal_ratings, models, overview, splits
 from fairline.plans.testmap import MATCHES_SQL, PREDICTIONS_SQL, matches, predictions, quotes, ratings
+from fairline.session import shared_path
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -322,14 +323,22 @@ def ks_statistic(s: SparkSession, d: str) -> DataFrame:
     return rounded(drift.ks(drift.unpivoted(m.where("season < 1997"), [], DRIFT_FEATURES), drift.unpivoted(m.where("season >= 1997"), ["season"], DRIFT_FEATURES), ["season"]).drop("p_value"))
 
 
+def _features(s: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
+    """The feature frame of all matches with a history, and the names of all its numeric features."""
+    wide = form.with_history(form.build_features(matches(s, d), ratings(s, d)))
+    return wide, models.feature_columns(wide, "market_blind")
+
+
 @query()
 def feature_drift(s: SparkSession, d: str) -> DataFrame:
-    return drift.feature_drift(matches(s, d), DRIFT_FEATURES, F.col("season") < 1997)
+    """Every feature of the frame, every season from 1997 on against the seasons before."""
+    wide, names = _features(s, d)
+    return drift.feature_drift(wide, names, F.col("season") < 1997)
 
 
 @query()
 def drift_summary(s: SparkSession, d: str) -> DataFrame:
-    return drift.drift_summary(drift.feature_drift(matches(s, d), DRIFT_FEATURES, F.col("season") < 1997))
+    return drift.drift_summary(feature_drift(s, d))
 
 
 @query(_with("""SELECT season, n, round(h / n, 6) AS rate_H, round(chi2, 6) AS chi2, round(exp(-chi2 / 2), 6) AS p_value, exp(-chi2 / 2) < 0.01 AND season >= 1997 AS drifted FROM (
@@ -351,9 +360,12 @@ def corrupt_swapped(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def stress_input_drift(s: SparkSession, d: str) -> DataFrame:
-    m = matches(s, d)
-    bad = drift.corrupt_schema(drift.corrupt_out_of_bounds(m.where("season = 2000"), ["fthg", "home_xg"]), ["away_xg"])
-    return drift.input_drift(m.where("season < 2000"), bad, DRIFT_FEATURES)
+    """All features of the last season, corrupted out of bounds, with the xG family gone, against the seasons before."""
+    wide, names = _features(s, d)
+    season = _last_season(matches(s, d))
+    gone = [c for c in names if "xg" in c]
+    bad = drift.corrupt_schema(drift.corrupt_out_of_bounds(wide.where(F.col("season") == season), [c for c in names if c not in gone]), gone)
+    return drift.input_drift(wide.where(F.col("season") < season), bad, names)
 
 
 @query()
@@ -422,3 +434,43 @@ def model_fold(s: SparkSession, d: str) -> DataFrame:
     wide = form.with_history(form.build_features(matches(s, d), ratings(s, d)))
     data = wide.join(odds.market(quotes(s, d)), "match_id")
     return models.run_fold(data, splits.Split("wf_2000", tuple(range(1996, 2000)), (2000,)), "market_aware", "linear", LEAGUES)
+
+
+def _priced(s: SparkSession, d: str, m: DataFrame) -> DataFrame:
+    """Matches with their quotes: of every seventeenth one triple is missing, of every eleventh both."""
+    q = quotes(s, d)
+    m = m.select("match_id", "league", "season", "date", "home_team", "away_team", "id").join(q, "match_id", "left")
+    return m.select(*[c for c in m.columns if not c.startswith("odds_")], *[F.when(F.col("id") % 11 != 0, F.col(c)).alias(c) for c in q.columns if c != "match_id"]).drop("id")
+
+
+def _deployed(s: SparkSession, d: str, m: DataFrame, track: str, algorithm: str, season: int) -> tuple[deploy.Deployed, DataFrame]:
+    """A model fitted on all seasons before ``season``, as another session reads it from its folder, and the features of all seasons."""
+    wide = form.with_history(form.build_features(m, ratings(s, d)))
+    data = wide.join(deploy.attach_market(_priced(s, d, m)).drop("league", "season", "date"), "match_id")
+    seasons = tuple(sorted(r["season"] for r in m.select("season").distinct().collect() if r["season"] < season))  # a handful
+    path = shared_path(s, "deployed")
+    deploy.save(deploy.fit_deployment(data, track, algorithm, LEAGUES, seasons), path)
+    return deploy.load(s.newSession(), path), data
+
+
+def _last_season(m: DataFrame) -> int:
+    return m.agg(F.max("season")).first()[0]
+
+
+@query()
+def sealed_season_scores(s: SparkSession, d: str) -> DataFrame:
+    """A stacked model of all earlier seasons, saved, read again, and applied to every row of the sealed last season."""
+    m = matches(s, d)
+    season = _last_season(m)
+    model, data = _deployed(s, d, m, "market_blind", deploy.STACKING, season)
+    return deploy.scored(model, deploy.sealed_rows(data, season), complete=False)
+
+
+@query()
+def fixture_scores(s: SparkSession, d: str) -> DataFrame:
+    """The last season from its middle on as unplayed fixtures, by a saved model of all earlier seasons."""
+    m = matches(s, d)
+    season = _last_season(m)
+    model, _ = _deployed(s, d, m, "market_aware", "linear", season)
+    middle = m.where(F.col("season") == season).agg(F.expr("timestamp_seconds(cast(percentile_disc(0.5) WITHIN GROUP (ORDER BY unix_timestamp(date)) AS bigint))").alias("t")).first()["t"]
+    return deploy.score_fixtures(model, _priced(s, d, m.where((F.col("season") == season) & (F.col("date") >= middle))), m.where(F.col("date") < middle), ratings(s, d))
