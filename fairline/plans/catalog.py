@@ -262,12 +262,21 @@ def value_bets(s: SparkSession, d: str) -> DataFrame:
   FROM (SELECT track, model, unnest(['absolute', 'relative']) AS mode, rows FROM (SELECT track, model, count(*) AS rows FROM predictions GROUP BY ALL)) g
   LEFT JOIN (SELECT track, model, mode, count(*) AS n, avg(won) AS strike, avg(won * odds - 1) AS roi, sum(stake_kelly * (won * odds - 1)) / nullif(sum(stake_kelly), 0) AS kelly, avg(clv) AS clv, avg(CASE WHEN clv > 0 THEN 1.0 WHEN clv <= 0 THEN 0.0 END) AS pos FROM modes GROUP BY ALL) b ON b.track = g.track AND b.model = g.model AND b.mode = g.mode""", PREDICTIONS_SQL, _BETS))
 def backtest(s: SparkSession, d: str) -> DataFrame:
-    return rounded(evaluate.backtest(predictions(s, d)).select("track", "model", "mode", "n_bets", "bet_rate", "strike_rate", "roi_flat", "roi_kelly", "mean_clv", "positive_clv_rate"))
+    return rounded(evaluate.backtest(predictions(s, d), iterations=0).select("track", "model", "mode", "n_bets", "bet_rate", "strike_rate", "roi_flat", "roi_kelly", "mean_clv", "positive_clv_rate"))
 
 
-@query(_with("SELECT track, model, t / 100.0::DOUBLE AS threshold, count(*) AS n_bets, round(avg(odds), 6) AS mean_odds, round(avg(won * odds - 1), 6) AS roi_flat FROM bets JOIN range(2, 21) r(t) ON edge > t / 100.0::DOUBLE GROUP BY ALL", PREDICTIONS_SQL, _BETS))
+@query(_with("""SELECT g.track, g.model, t / 100.0::DOUBLE AS threshold, count(edge) AS n_bets, round(avg(odds), 6) AS mean_odds, round(avg(won * odds - 1), 6) AS roi_flat
+  FROM (SELECT DISTINCT track, model FROM predictions) g CROSS JOIN range(2, 21) r(t) LEFT JOIN bets b ON b.track = g.track AND b.model = g.model AND edge > t / 100.0::DOUBLE GROUP BY ALL""", PREDICTIONS_SQL, _BETS))
 def roi_by_threshold(s: SparkSession, d: str) -> DataFrame:
-    return rounded(evaluate.roi_by_threshold(predictions(s, d)))
+    return rounded(evaluate.roi_by_threshold(predictions(s, d), iterations=0))
+
+
+@query()
+def backtest_intervals(s: SparkSession, d: str) -> DataFrame:
+    """A20 and A22 with their intervals: the two betting rules, then every threshold."""
+    p = predictions(s, d)
+    rules = evaluate.backtest(p).select("track", "model", "mode", F.lit(evaluate.EDGE).alias("threshold"), "n_bets", "roi_flat", "roi_flat_low", "roi_flat_high", "roi_kelly", "roi_kelly_low", "roi_kelly_high")
+    return rules.unionByName(evaluate.roi_by_threshold(p).withColumn("mode", F.lit("sweep")).drop("mean_odds"), allowMissingColumns=True)
 
 
 @query()
