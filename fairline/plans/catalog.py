@@ -9,7 +9,7 @@ from fairline.functions import odds, scalar
 from fairline.functions.goals import expected_goals, match_probabilities
 from fairline.operators import deploy, drift, entity, evaluate, form, goal_ratings, models, overview, splits
 from fairline.plans.testmap import MATCHES_SQL, PREDICTIONS_SQL, matches, predictions, quotes, ratings
-from fairline.session import shared_path
+from fairline.session import shared_path, written
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -334,7 +334,7 @@ def ks_statistic(s: SparkSession, d: str) -> DataFrame:
 
 def _features(s: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
     """The feature frame of all matches with a history, and the names of all its numeric features."""
-    wide = form.with_history(form.build_features(matches(s, d), ratings(s, d)))
+    wide = written(form.with_history(form.build_features(matches(s, d), ratings(s, d))), "features")
     return wide, models.feature_columns(wide, "market_blind")
 
 
@@ -455,7 +455,8 @@ def _priced(s: SparkSession, d: str, m: DataFrame) -> DataFrame:
 def _deployed(s: SparkSession, d: str, m: DataFrame, track: str, algorithm: str, season: int) -> tuple[deploy.Deployed, DataFrame]:
     """A model fitted on all seasons before ``season``, as another session reads it from its folder, and the features of all seasons."""
     wide = form.with_history(form.build_features(m, ratings(s, d)))
-    data = wide.join(deploy.attach_market(_priced(s, d, m)).drop("league", "season", "date"), "match_id")
+    # A fit runs dozens of jobs: their plans begin at a table, not at the windows that made it.
+    data = written(wide.join(deploy.attach_market(_priced(s, d, m)).drop("league", "season", "date"), "match_id"), "features")
     seasons = tuple(sorted(r["season"] for r in m.select("season").distinct().collect() if r["season"] < season))  # a handful
     path = shared_path(s, "deployed")
     deploy.save(deploy.fit_deployment(data, track, algorithm, LEAGUES, seasons), path)
