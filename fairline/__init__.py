@@ -1,4 +1,4 @@
-"""Point-in-time match analytics on Spark: sources, operators, functions, plans, streaming.
+"""Point-in-time match analytics on Spark: sources, operators, functions, plans.
 
 Functions that run inside Python workers travel by value, so a cluster needs no
 copy of this package on its executors.

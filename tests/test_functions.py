@@ -46,14 +46,21 @@ def test_ks_pvalue_limits():
     assert drift.ks_pvalue(0.5, 2, 2) == pytest.approx(1.0) and drift.ks_pvalue(1.0, 2, 2) == pytest.approx(1 / 3)
 
 
-def test_metrics_hand_values(spark):
-    df = spark.createDataFrame([(0, 0.5, 0.3, 0.2), (1, 0.2, 0.6, 0.2), (2, 0.2, 0.2, 0.6)], "y_true int, p_H double, p_D double, p_A double")
+def test_metrics_equal_their_definitions(spark):
+    """Scores of random rows, ties of confidence and impossible outcomes included, against numpy."""
+    rng = np.random.default_rng(21)
+    p = np.round(rng.dirichlet([2, 1, 1.5], 300), 2)
+    p[:5] = [[0, 1, 0], [0, 0, 1], [0.4, 0.4, 0.2], [0.25, 0.5, 0.25], [1, 0, 0]]
+    y = rng.integers(0, 3, len(p))
+    df = spark.createDataFrame([(int(k), *map(float, x)) for k, x in zip(y, p)], "y_true int, p_H double, p_D double, p_A double")
     r = evaluate.metric_summary(df, []).first()
-    assert r["log_loss"] == pytest.approx(-np.log([0.5, 0.6, 0.6]).mean()) and r["accuracy"] == 1.0
-    one = spark.createDataFrame([(0, 0.7, 0.2, 0.1)], "y_true int, p_H double, p_D double, p_A double")
-    assert evaluate.metric_summary(one, []).first()["brier"] == pytest.approx(0.14)
-    ece = spark.createDataFrame([(0, 0.9, 0.1, 0.0), (1, 0.9, 0.1, 0.0)], "y_true int, p_H double, p_D double, p_A double")
-    assert evaluate.metric_summary(ece, []).first()["ece"] == pytest.approx(0.4)
+    c = np.clip(p, 1e-15, 1)
+    assert r["log_loss"] == pytest.approx(-np.log((c / c.sum(1, keepdims=True))[np.arange(len(y)), y]).mean())
+    assert r["brier"] == pytest.approx(((p - np.eye(3)[y]) ** 2).sum(1).mean())
+    hit, sure, edges = p.argmax(1) == y, p.max(1), np.linspace(0, 1, 11)
+    assert r["accuracy"] == pytest.approx(hit.mean())
+    held = [(sure > lo) & (sure <= hi) for lo, hi in zip(edges, edges[1:])]
+    assert r["ece"] == pytest.approx(sum(abs(hit[k].mean() - sure[k].mean()) * k.sum() for k in held if k.any()) / len(y))
 
 
 def test_splits():
@@ -66,11 +73,12 @@ def test_splits():
 
 
 def test_goal_fit_gradient_and_order():
-    rows = [("Strong", "Weak", 4, 0), ("Weak", "Strong", 0, 3), ("Mid", "Weak", 2, 0), ("Weak", "Mid", 1, 1), ("Strong", "Mid", 2, 1), ("Mid", "Strong", 0, 2)] * 2
+    goals = {"oak": 5, "elm": 3, "ash": 1}  # whoever hosts, a side scores its own number less what the other keeps out
+    rows = [(h, a, max(0, goals[h] - goals[a] // 2), max(0, goals[a] - goals[h] // 2)) for _ in range(3) for h in goals for a in goals if h != a]
     m = pd.DataFrame(rows, columns=["home_team", "away_team", "fthg", "ftag"])
     m["date"] = pd.date_range("2020-01-01", periods=len(m))
     got = goal_ratings.fit(m, m["date"].max()).set_index("team")
-    assert got.attack["Strong"] > got.attack["Mid"] > got.attack["Weak"] and (got.attack > 0).all()
+    assert got.attack["oak"] > got.attack["elm"] > got.attack["ash"] and (got.attack > 0).all()
     with pytest.raises(ValueError):
         goal_ratings.fit(m, m["date"].min())
     t = np.random.default_rng(0).normal(0, 0.2, 8)
@@ -110,10 +118,12 @@ def test_nested_json(spark, tmp_path):
     assert len(t) == 1 and t[0]["sides"] == ["A", "B"] and t[0]["pm_p_H"] == pytest.approx(0.42 / 1.01)
 
 
-def test_season_cutover(spark):
-    days = {"2026-08-15": 2026, "2026-12-26": 2026, "2027-02-01": 2026, "2026-05-24": 2025, "2026-07-01": 2026}
-    df = spark.createDataFrame([(k, v) for k, v in days.items()], "d string, s int")
-    assert df.where(scalar.season_of(F.to_date("d")) != F.col("s")).count() == 0
+def test_seasons_turn_at_the_start_of_july(spark):
+    """Every day of three years: the season changes on one day a year and is the year it began in."""
+    days = spark.sql("SELECT explode(sequence(date'2011-01-01', date'2013-12-31')) AS d").withColumn("s", scalar.season_of(F.col("d")))
+    rows = [(r["d"], r["s"]) for r in days.orderBy("d").collect()]
+    turns = [(b[0].month, b[0].day, b[1] - a[1]) for a, b in zip(rows, rows[1:]) if a[1] != b[1]]
+    assert turns == [(7, 1, 1)] * 3 and rows[0][1] == 2010 and rows[-1][1] == 2013
 
 
 def test_match_rates_and_pins(spark):
