@@ -112,12 +112,12 @@ VENUE_A = "events array<struct<event:string,title:string,markets:array<struct<la
 
 
 def _triples(rows: DataFrame, keys: list[str], more_sides: bool) -> DataFrame:
-    """Price rows (keys, pos, label, price) to (sides, pm_p_H/D/A): draw by label, sides in array order."""
+    """Price rows (keys, pos, label, price) to (sides, pm_p_H/D/A): draw by label, the last one counts; sides in array order."""
     drawn = F.lower("label").rlike("draw|tie")
     side = F.when(~drawn, F.col("pos"))
     g = rows.groupBy(*keys).agg(
         F.count(side).alias("n"), F.min_by("price", side).alias("h"), F.max_by("price", side).alias("a"), F.min_by("label", side).alias("hl"), F.max_by("label", side).alias("al"),
-        F.max(F.when(drawn, F.col("price"))).alias("d"),
+        F.max_by("price", F.when(drawn, F.col("pos"))).alias("d"),
     )
     g = g.where("n >= 2" if more_sides else "n = 2")
     names = ("pm_p_H", "pm_p_D", "pm_p_A")
@@ -136,8 +136,8 @@ VENUE_B = "id string, title string, markets array<struct<label:string,prices:str
 
 
 def read_venue_b(spark: SparkSession, path: str) -> DataFrame:
-    """Titles with " vs"; the first of a JSON list of price strings; the last non-draw is the away side."""
-    e = spark.read.schema(VENUE_B).option("multiLine", True).json(path).where(F.col("title").contains(" vs"))
+    """Titles with " vs" in any case; the first of a JSON list of price strings; the last non-draw is the away side."""
+    e = spark.read.schema(VENUE_B).option("multiLine", True).json(path).where(F.lower("title").contains(" vs"))
     m = e.select(F.lit("venue_b").alias("source"), F.col("id").alias("event"), "title", F.posexplode("markets").alias("pos", "m"))
     price = F.get(F.from_json("m.prices", "array<string>"), F.lit(0)).try_cast("double")
     return _triples(m.select("source", "event", "title", "pos", F.col("m.label").alias("label"), price.alias("price")).where("price IS NOT NULL"), ["source", "event", "title"], True)

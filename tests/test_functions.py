@@ -132,3 +132,22 @@ def test_match_rates_and_pins(spark):
     manual = spark.createDataFrame([("x", "E0", "Man Utd", "Manchester United")], "source string, league string, raw_name string, canonical_name string")
     got = {r["raw_name"]: r["canonical_name"] for r in entity.resolve_names(canon, raw, "x", manual).collect()}
     assert got == {"Arsenal FC": "Arsenal", "Wolves": "Wolves"}
+
+
+def test_second_venue_takes_the_last_prices(spark, tmp_path):
+    """Titles in any case; prices that are no numbers are left out; the last draw and the last other side count; one side is not enough."""
+    import json
+
+    def event(i, title, *markets):
+        return {"id": i, "title": title, "markets": [{"label": a, "prices": b} for a, b in markets]}
+
+    found = [
+        event("a", "Lyon VS Nice", ("Lyon", '["0.5"]'), ("Draw", '["0.9"]'), ("Nice", '["0.1"]'), ("Tie after 90", '["0.3"]'), ("Nice again", '["0.4", "0.6"]')),
+        event("b", "Lyon and Nice", ("Lyon", '["0.5"]'), ("Draw", '["0.2"]'), ("Nice", '["0.3"]')),
+        event("c", "Metz vs Lens", ("Metz", '["0.5"]'), ("Draw", '["0.2"]'), ("Lens", '["n/a"]')),
+    ]
+    path = tmp_path / "b.json"
+    path.write_text(json.dumps(found))
+    rows = readers.read_venue_b(spark, str(path)).collect()
+    assert [r["event"] for r in rows] == ["a"] and rows[0]["sides"] == ["Lyon", "Nice again"]
+    assert np.allclose([rows[0][f"pm_p_{o}"] for o in "HDA"], np.array([0.5, 0.3, 0.4]) / 1.2)
