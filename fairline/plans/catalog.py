@@ -362,6 +362,11 @@ def calibration_decay(s: SparkSession, d: str) -> DataFrame:
     return rounded(drift.calibration_decay(predictions(s, d)).select("track", "model", "season", "n", "log_loss", "ece", "gap"))
 
 
+@query(_with(f"SELECT a.track, a.model, a.season, round(a.log_loss - b.log_loss, 6) AS gap FROM {_summary('track, model, season')} a JOIN {_summary('track, model, season', 'p_market_')} b USING (track, model, season) ORDER BY a.log_loss - b.log_loss DESC, track, model, season LIMIT 1", PREDICTIONS_SQL))
+def worst_calibration_gap(s: SparkSession, d: str) -> DataFrame:
+    return rounded(drift.worst_calibration_gap(drift.calibration_decay(predictions(s, d))))
+
+
 @query(_with("SELECT match_id, away_xg AS home_xg, home_xg AS away_xg FROM matches"))
 def corrupt_swapped(s: SparkSession, d: str) -> DataFrame:
     return drift.corrupt_swapped(matches(s, d).select("match_id", "home_xg", "away_xg"), ["home_xg", "away_xg"])
