@@ -200,11 +200,35 @@ def date_mismatches(s: SparkSession, d: str) -> DataFrame:
     return entity.date_mismatches(entity.join_measurements(m.drop("home_xg", "away_xg"), moved)).select("match_id")
 
 
-@query()
+def _club(team: str) -> str:
+    """A club's spelled name, nine letters drawn from its short one; SQL that both engines run."""
+    return f"translate(substr(md5({team}), 1, 9), '0123456789abcdef', 'bcdfglmnprstaeio')"
+
+
+def _venue_name(team: str) -> str:
+    """How a venue spells a club: of every second one the fifth letter is missing."""
+    return f"upper(CASE WHEN substr(md5({team}), 10, 1) < '8' THEN {_club(team)} ELSE concat(substr({_club(team)}, 1, 4), substr({_club(team)}, 6)) END)"
+
+
+_SHORT = "substr(md5({0}), 10, 1) >= '8'"
+
+
+# A venue lists every third match. Either order of two clubs names both, so the pair decides; a name without its fifth
+# letter matches 8 of 9 letters, in a window of 8 only where the text begins with it.
+@query(_with(f"""SELECT m.match_id, c.event, round(CASE WHEN c.event IS NULL THEN NULL ELSE c.score END, 6) AS pm_score FROM matches m LEFT JOIN scored c
+  ON c.x = least(m.home_team, m.away_team) AND c.y = greatest(m.home_team, m.away_team)
+  QUALIFY row_number() OVER (PARTITION BY m.match_id ORDER BY c.score DESC, c.id) = 1""", f"""
+scored AS (SELECT id, match_id AS event, least(home_team, away_team) AS x, greatest(home_team, away_team) AS y,
+  least(CASE WHEN {_SHORT.format('home_team')} THEN 1600.0 / 17 ELSE 100 END, CASE WHEN {_SHORT.format('away_team')} THEN 1600.0 / 18 ELSE 100 END)::DOUBLE AS score FROM matches WHERE id % 3 = 0)"""))
 def venue_match(s: SparkSession, d: str) -> DataFrame:
-    fx = matches(s, d).where("season = 2000").select("match_id", "home_team", "away_team")
-    cand = fx.where(F.xxhash64("match_id") % 3 == 0).select(F.lit("venue_a").alias("source"), F.col("match_id").alias("event"), F.array("home_team", "away_team").alias("sides"), F.xxhash64("match_id").alias("ordinal"), F.lit(0.5).alias("pm_p_H"), F.lit(0.25).alias("pm_p_D"), F.lit(0.25).alias("pm_p_A"))
-    return entity.venue_match(fx, cand)
+    m = matches(s, d)
+    fx = m.select("match_id", F.expr(_club("home_team")).alias("home_team"), F.expr(_club("away_team")).alias("away_team"))
+    listed = m.where("id % 3 = 0").select("id", "match_id", F.expr(_venue_name("home_team")).alias("h"), F.expr(_venue_name("away_team")).alias("a"))
+    cand = listed.select(
+        F.lit("venue_a").alias("source"), F.col("match_id").alias("event"), F.col("id").alias("ordinal"), F.concat_ws(" vs. ", "h", "a").alias("title"),
+        F.array(F.concat("h", F.lit(" to win")), F.concat("a", F.lit(" to win"))).alias("sides"), F.lit(0.5).alias("pm_p_H"), F.lit(0.25).alias("pm_p_D"), F.lit(0.25).alias("pm_p_A"),
+    )
+    return rounded(entity.venue_match(fx, cand).select("match_id", "event", "pm_score"))
 
 
 def _ll(pre: str) -> str:
