@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fairline.functions import odds, scalar
 from fairline.functions.goals import expected_goals, match_probabilities
-from fairline.operators import deploy, drift, entity, evaluate, form, goal_ratings, models, overview, splits
+from fairline.operators import deploy, drift, entity, evaluate, form, goal_ratings, models, overview, splits, stress
 from fairline.plans.testmap import MATCHES_SQL, PREDICTIONS_SQL, matches, predictions, quotes, ratings
 from fairline.session import shared_path, written
 
@@ -408,7 +408,11 @@ def stress_input_drift(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def stress_alert(s: SparkSession, d: str) -> DataFrame:
-    return drift.alert_reasons(stress_input_drift(s, d), None, 0.0)
+    """A saved model of all earlier seasons on the sealed last season, as it is and corrupted in three ways."""
+    m = matches(s, d)
+    season = _last_season(m)
+    model, data = _deployed(s, d, m, "market_aware", "linear", season)
+    return stress.stress_report(model, deploy.sealed_rows(data, season))
 
 
 @query(_with("SELECT 'wf_' || e.season AS fold, CASE WHEN m.season < e.season THEN 'train' ELSE 'eval' END AS role, count(*) AS n FROM matches m JOIN (SELECT DISTINCT season FROM matches) e ON m.season <= e.season WHERE e.season >= 1996 GROUP BY 1, 2"))
