@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,16 +18,22 @@ CORE = ("Date", "HomeTeam", "AwayTeam", "FTHG", "FTAG", "FTR")
 RESULTS = "league string, season int, date date, home_team string, away_team string, fthg double, ftag double, ftr string"
 
 
+def _clean(first: str) -> str:
+    return first.removeprefix("ï»¿").removeprefix("﻿").strip("\r")
+
+
 def _header(spark: SparkSession, path: str) -> str:
     first = spark.read.option("encoding", "ISO-8859-1").text(path).first()
-    return "" if first is None else first[0].removeprefix("ï»¿").removeprefix("﻿").strip("\r")
+    return "" if first is None else _clean(first[0])
 
 
-def _table(spark: SparkSession, paths: list[str], header: str) -> DataFrame:
-    """Files of one header: short lines are padded with nulls, lines that are too long are dropped."""
+def _table(spark: SparkSession, paths: list[str], header: str, uri: str | None = None) -> DataFrame:
+    """Files of one header: short lines are padded with nulls, lines that are too long are dropped; ``uri`` names a column for the file."""
     names = [c.strip() or f"_blank{i}" for i, c in enumerate(header.split(","))]
     fields = [T.StructField(n if n not in names[:i] else f"{n}_{i}", T.StringType()) for i, n in enumerate(names)] + [T.StructField("__extra", T.StringType())]
     df = spark.read.csv(paths, schema=T.StructType(fields), header=False, encoding="ISO-8859-1", mode="PERMISSIVE", enforceSchema=True)
+    if uri:
+        df = df.withColumn(uri, file_of())
     return df.where(F.col("__extra").isNull() & ~F.coalesce(F.regexp_replace(F.col(fields[0].name), "^(ï»¿|﻿)", "") == F.lit(names[0]), F.lit(False))).drop("__extra")
 
 
@@ -35,29 +42,52 @@ def _quotes(df: DataFrame) -> list[Column]:
     return [F.expr(f"try_cast(`{p}{o}` AS double)").alias(f"odds_{p}_{o}") for p in PREFIXES if all(f"{p}{x}" in df.columns for x in "HDA") for o in "HDA"]
 
 
-def by_header(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
-    groups: dict[str, list[str]] = {}
-    for p in paths:
-        groups.setdefault(_header(spark, p), []).append(p)
-    return groups
+#: "file:///x" and "file:/x" are one file: an empty authority is left out.
+BARE = (r"^([A-Za-z0-9+.-]+):///", "$1:/")
+
+
+def file_of() -> Column:
+    return F.regexp_replace("_metadata.file_path", *map(F.lit, BARE))
+
+
+def file_uri(spark: SparkSession, path: str) -> str:
+    """A path as ``file_of`` shows it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(p).toUri().toString()
+    return re.sub(BARE[0], r"\1:/", uri)
+
+
+def headers(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """URI to first line of every file that has one, by one job; one short row per named file reaches the driver."""
+    lines = spark.read.option("encoding", "ISO-8859-1").text(paths)
+    # Only the first split of a file begins with its first line; within a split, row ids ascend.
+    first = lines.select(file_of().alias("uri"), F.col("_metadata.file_block_start").alias("start"), "value").where("start = 0").withColumn("at", F.monotonically_increasing_id())
+    return {r["uri"]: _clean(r["value"]) for r in first.groupBy("uri").agg(F.min_by("value", "at").alias("value")).collect()}
 
 
 def read_results(spark: SparkSession, files: dict[tuple[str, int], str]) -> DataFrame:
-    """(league, season) -> path. Files without a core column are skipped; one scan per header."""
-    where = {p: k for k, p in files.items()}
+    """(league, season) -> path. Files without a core column, and empty ones, are skipped.
+
+    One job reads all headers; then there is one scan per distinct header, and a row's file says its league and season.
+    """
+    if not files:
+        return spark.createDataFrame([], RESULTS)
+    uris = {file_uri(spark, p): (p, *k) for k, p in files.items()}
+    if len(uris) < len(files):
+        raise ValueError("one file under two keys")
+    groups: dict[str, list[str]] = {}
+    for uri, header in headers(spark, list(files.values())).items():
+        if set(CORE) <= {c.strip() for c in header.split(",")}:
+            groups.setdefault(header, []).append(uris[uri][0])
+    where = F.broadcast(spark.createDataFrame([(u, k[1], int(k[2])) for u, k in uris.items()], "__uri string, league string, season int"))  # as many rows as files named
     parts = []
-    for header, paths in by_header(spark, list(where)).items():
-        if not set(CORE) <= {c.strip() for c in header.split(",")}:
-            continue
-        for p in paths:
-            raw = _table(spark, [p], header)
-            league, season = where[p]
-            ftr = F.upper(F.trim("FTR"))
-            row = raw.select(
-                F.lit(league).alias("league"), F.lit(season).cast("int").alias("season"), parse_date(F.col("Date")).alias("date"), F.trim("HomeTeam").alias("home_team"), F.trim("AwayTeam").alias("away_team"),
-                F.expr("try_cast(FTHG AS double)").alias("fthg"), F.expr("try_cast(FTAG AS double)").alias("ftag"), ftr.alias("ftr"), *_quotes(raw),
-            )
-            parts.append(row.where("date IS NOT NULL AND home_team IS NOT NULL AND away_team IS NOT NULL AND ftr IN ('H', 'D', 'A')"))
+    for header, paths in sorted(groups.items()):
+        raw = _table(spark, paths, header, "__uri").join(where, "__uri")
+        row = raw.select(
+            "league", "season", parse_date(F.col("Date")).alias("date"), F.trim("HomeTeam").alias("home_team"), F.trim("AwayTeam").alias("away_team"),
+            F.expr("try_cast(FTHG AS double)").alias("fthg"), F.expr("try_cast(FTAG AS double)").alias("ftag"), F.upper(F.trim("FTR")).alias("ftr"), *_quotes(raw),
+        )
+        parts.append(row.where("date IS NOT NULL AND home_team IS NOT NULL AND away_team IS NOT NULL AND ftr IN ('H', 'D', 'A')"))
     if not parts:
         return spark.createDataFrame([], RESULTS)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
