@@ -111,8 +111,8 @@ def derived_form(rows: DataFrame) -> DataFrame:
         {
             **{f"opp_elo_r{w}": lagged_mean("opp_elo", w, "team") for w in WINDOWS},
             **{f"elo_over_r{w}": lagged_mean("elo_over", w, "team") for w in WINDOWS},
-            "venue_points_r5": lagged_mean("points", 5, "team", "is_home"),
-            "venue_goal_diff_r5": lagged_mean("goal_diff", 5, "team", "is_home"),
+            **{f"venue_points_r{w}": lagged_mean("points", w, "team", "is_home") for w in WINDOWS},
+            **{f"venue_goal_diff_r{w}": lagged_mean("goal_diff", w, "team", "is_home") for w in WINDOWS},
             "ewma_points": ewma_points(),
             "matches_14d": (F.row_number().over(team) - 1 - F.count("*").over(before)).cast("int"),
             "season_ppg": F.try_divide(earlier, (F.row_number().over(season) - 1).cast("double")),
@@ -129,9 +129,12 @@ def promoted(rows: DataFrame) -> DataFrame:
 
 
 SIDE_FEATURES = (
-    "elo", *(f"{s}_r{w}" for s in ROLL_STATS for w in WINDOWS), "opp_elo_r5", "opp_elo_r10", "elo_over_r5", "elo_over_r10", "venue_points_r5", "venue_goal_diff_r5",
+    "elo", *(f"{s}_r{w}" for s in ROLL_STATS for w in WINDOWS), "opp_elo_r5", "opp_elo_r10", "elo_over_r5", "elo_over_r10", "venue_points_r5", "venue_points_r10", "venue_goal_diff_r5", "venue_goal_diff_r10",
     "ewma_points", "matches_14d", "season_ppg", "promoted", "rest_days", "n_prior", "n_prior_in_season",
 )
+GOAL_RATINGS = ("attack", "defense", "home_advantage", "rho")
+#: Side features of which the frame holds home minus away.
+COMPARED = ("elo", "rest_days", "ewma_points", "season_ppg", "matches_14d", *(f"{s}_r{w}" for s in ("points", "venue_points", "elo_over", "opp_elo") for w in WINDOWS))
 
 
 def wide_frame(rows: DataFrame, features: tuple[str, ...] = SIDE_FEATURES) -> DataFrame:
@@ -142,14 +145,13 @@ def wide_frame(rows: DataFrame, features: tuple[str, ...] = SIDE_FEATURES) -> Da
 
 
 def differentials(wide: DataFrame, features: tuple[str, ...]) -> DataFrame:
-    """Home minus away per feature, net xG and net goals, xG over-performance."""
+    """Home minus away per feature; of net xG, net goals, and net goals over net xG."""
     out = {f"{c}_diff": F.col(f"home_{c}") - F.col(f"away_{c}") for c in features}
     for w in WINDOWS:
-        for side in ("home", "away"):
-            if f"{side}_xg_for_r{w}" in wide.columns:
-                out[f"{side}_net_xg_r{w}"] = F.col(f"{side}_xg_for_r{w}") - F.col(f"{side}_xg_against_r{w}")
-                out[f"{side}_net_goals_r{w}"] = F.col(f"{side}_goals_for_r{w}") - F.col(f"{side}_goals_against_r{w}")
-                out[f"{side}_xg_overperformance_r{w}"] = F.col(f"{side}_goals_for_r{w}") - F.col(f"{side}_xg_for_r{w}")
+        net = lambda side, stat: F.col(f"{side}_{stat}_for_r{w}") - F.col(f"{side}_{stat}_against_r{w}")  # noqa: E731, B023
+        if f"home_xg_for_r{w}" in wide.columns:
+            xg, goals = net("home", "xg") - net("away", "xg"), net("home", "goals") - net("away", "goals")
+            out |= {f"xg_diff_r{w}": xg, f"goal_diff_r{w}": goals, f"xg_overperformance_r{w}": goals - xg}
     return wide.withColumns(out)
 
 
@@ -160,6 +162,13 @@ def goal_features(wide: DataFrame) -> DataFrame:
     return out.withColumn("__p", match_probabilities("dc_lambda_home", "dc_lambda_away", "home_rho")).withColumns({f"dc_p_{o}": F.nanvl(F.col(f"__p.{o}"), F.lit(None).cast("double")) for o in "HDA"}).drop("__p")
 
 
+def consistent(column: str, tolerance: float = 1e-9) -> Column:
+    """W13 inside a job: the home copy of a global parameter; the job that reads it fails where the away copy differs."""
+    home, away = F.col(f"home_{column}"), F.col(f"away_{column}")
+    differ = F.raise_error(F.lit(f"home and away {column} differ")).cast("double")
+    return F.when(F.abs(home - away) > tolerance, differ).otherwise(home)
+
+
 def require_consistent(wide: DataFrame, column: str, tolerance: float = 1e-9) -> None:
     """Raise if home and away copies of a global parameter differ."""
     bad = wide.where(F.abs(F.col(f"home_{column}") - F.col(f"away_{column}")) > tolerance).limit(1).count()
@@ -167,11 +176,20 @@ def require_consistent(wide: DataFrame, column: str, tolerance: float = 1e-9) ->
         raise ValueError(f"home and away {column} differ")
 
 
-def build_features(matches: DataFrame, ratings: DataFrame, upcoming: DataFrame | None = None) -> DataFrame:
-    """The wide features of matches or, in scoring mode, of ``upcoming`` rows only (null outcomes)."""
+def build_features(matches: DataFrame, ratings: DataFrame, upcoming: DataFrame | None = None, goal_fits: DataFrame | None = None) -> DataFrame:
+    """The wide features of matches or, in scoring mode, of ``upcoming`` rows only (null outcomes).
+
+    With ``goal_fits`` (J6: team, from_date, attack, defense, home_advantage, rho) the frame also has the
+    goal model's ratings, their differences, expected goals and probabilities. Both sides of a match
+    must have met one fit: the job fails otherwise (W13). Sides without a fit have nulls there.
+    """
     every = matches if upcoming is None else matches.unionByName(upcoming, allowMissingColumns=True)
     rows = promoted(derived_form(opponent_elo(attach_elo(rolling_form(long_frame(every)), ratings))))
-    wide = differentials(wide_frame(rows), ("elo", "points_r5", "points_r10", "ewma_points", "season_ppg", "rest_days", "matches_14d", "opp_elo_r5", "elo_over_r5"))
+    if goal_fits is None:
+        wide = differentials(wide_frame(rows), COMPARED)
+    else:
+        wide = wide_frame(attach_goal_ratings(rows, goal_fits), (*SIDE_FEATURES, *GOAL_RATINGS)).withColumns({f"home_{c}": consistent(c) for c in GOAL_RATINGS[2:]})
+        wide = goal_features(differentials(wide, (*COMPARED, "attack", "defense")))
     if upcoming is not None:
         return wide.join(upcoming.select("match_id"), "match_id", "left_semi")
     return wide.join(matches.select("match_id", outcome_code(F.col("ftr")).alias("target"), "ftr"), "match_id", "left")

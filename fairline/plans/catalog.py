@@ -117,13 +117,13 @@ ew AS (SELECT match_id AS mid, team AS tm, sum(p * pow(2.0 / 3, k)) / sum(pow(2.
 
 
 @query(_with(f"""SELECT d.match_id, d.is_home, {', '.join(f"round({_lag(c, w)}, 6) AS {c}_r{w}" for c in ('opp_elo', 'elo_over') for w in form.WINDOWS)},
-  round({_lag('points', 5, 'team, is_home')}, 6) AS venue_points_r5, round({_lag('goal_diff', 5, 'team, is_home')}, 6) AS venue_goal_diff_r5, round(ewma, 6) AS ewma_points,
+  {', '.join(f"round({_lag(c, w, 'team, is_home')}, 6) AS venue_{c}_r{w}" for c in ('points', 'goal_diff') for w in form.WINDOWS)}, round(ewma, 6) AS ewma_points,
   (row_number() OVER (PARTITION BY d.team ORDER BY date, d.match_id) - 1 - count(*) OVER (PARTITION BY d.team ORDER BY epoch(date)::BIGINT RANGE BETWEEN UNBOUNDED PRECEDING AND 1209601 PRECEDING))::INT AS matches_14d,
   round(sum(points) OVER (PARTITION BY d.team, season ORDER BY date, d.match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) / nullif(row_number() OVER (PARTITION BY d.team, season ORDER BY date, d.match_id) - 1, 0), 6) AS season_ppg
   FROM der d LEFT JOIN ew ON mid = match_id AND tm = team""", LONG, ELO, _DERIVED))
 def derived_form(s: SparkSession, d: str) -> DataFrame:
     r = form.derived_form(form.opponent_elo(form.attach_elo(form.long_frame(matches(s, d)), ratings(s, d))))
-    return rounded(r.select("match_id", "is_home", *[f"{c}_r{w}" for c in ("opp_elo", "elo_over") for w in form.WINDOWS], "venue_points_r5", "venue_goal_diff_r5", "ewma_points", "matches_14d", "season_ppg"))
+    return rounded(r.select("match_id", "is_home", *[f"{c}_r{w}" for c in ("opp_elo", "elo_over") for w in form.WINDOWS], *[f"venue_{c}_r{w}" for c in ("points", "goal_diff") for w in form.WINDOWS], "ewma_points", "matches_14d", "season_ppg"))
 
 
 @query(_with("SELECT l.match_id, l.is_home, CASE WHEN l.season > f THEN CASE WHEN h.team IS NULL THEN 1.0 ELSE 0.0 END END::DOUBLE AS promoted FROM long l CROSS JOIN (SELECT min(season) AS f FROM long) LEFT JOIN (SELECT DISTINCT league, season + 1 AS season, team FROM long) h ON h.league = l.league AND h.season = l.season AND h.team = l.team", LONG))
@@ -131,13 +131,35 @@ def promoted_teams(s: SparkSession, d: str) -> DataFrame:
     return form.promoted(form.long_frame(matches(s, d))).select("match_id", "is_home", "promoted")
 
 
-@query(_with(f"""SELECT w.match_id, CASE ftr WHEN 'H' THEN 0 WHEN 'D' THEN 1 ELSE 2 END::INT AS target, h_elo - a_elo AS elo_diff, round(h_p - a_p, 6) AS points_r5_diff, round(h_x - h_y, 6) AS home_net_xg_r5, round(a_g - a_x, 6) AS away_xg_overperformance_r5
-  FROM (SELECT match_id, {', '.join(f"max(CASE WHEN is_home = {1 if sd == 'h' else 0} THEN {c} END) AS {sd}_{a}" for sd in 'ha' for a, c in (('elo', 'elo'), ('p', 'p5'), ('x', 'x5'), ('y', 'y5'), ('g', 'g5'), ('n', 'np')))} FROM
-    (SELECT *, {_lag('points', 5)} AS p5, {_lag('xg_for', 5)} AS x5, {_lag('xg_against', 5)} AS y5, {_lag('goals_for', 5)} AS g5, row_number() OVER (PARTITION BY team ORDER BY date, match_id) - 1 AS np FROM elo2) GROUP BY 1) w
-  JOIN matches m ON m.match_id = w.match_id WHERE h_n >= 5 AND a_n >= 5""", LONG, ELO))
+#: Side features in SQL that the differences need, and the differences.
+_SIDES = {
+    "elo": "elo", "n": "row_number() OVER (PARTITION BY d.team ORDER BY date, d.match_id) - 1", "ewma_points": "ewma",
+    "rest_days": "least(floor((epoch(date) - epoch(lag(date) OVER (PARTITION BY d.team ORDER BY date, d.match_id))) / 86400), CASE WHEN lag(date) OVER (PARTITION BY d.team ORDER BY date, d.match_id) IS NOT NULL THEN 21 END)",
+    "matches_14d": "row_number() OVER (PARTITION BY d.team ORDER BY date, d.match_id) - 1 - count(*) OVER (PARTITION BY d.team ORDER BY epoch(date)::BIGINT RANGE BETWEEN UNBOUNDED PRECEDING AND 1209601 PRECEDING)",
+    "season_ppg": "sum(points) OVER (PARTITION BY d.team, season ORDER BY date, d.match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) / nullif(row_number() OVER (PARTITION BY d.team, season ORDER BY date, d.match_id) - 1, 0)",
+    **{f"{c}_r{w}": _lag(c, w, "d.team") for c in (*form.ROLL_STATS, "opp_elo", "elo_over") for w in form.WINDOWS},
+    **{f"venue_points_r{w}": _lag("points", w, "d.team, is_home") for w in form.WINDOWS},
+}
+_GAPS = {f"{c}_diff": f"h_{c} - a_{c}" for c in form.COMPARED}
+for _w in form.WINDOWS:
+    _GAPS[f"xg_diff_r{_w}"] = f"(h_xg_for_r{_w} - h_xg_against_r{_w}) - (a_xg_for_r{_w} - a_xg_against_r{_w})"
+    _GAPS[f"goal_diff_r{_w}"] = f"(h_goals_for_r{_w} - h_goals_against_r{_w}) - (a_goals_for_r{_w} - a_goals_against_r{_w})"
+    _GAPS[f"xg_overperformance_r{_w}"] = f"({_GAPS[f'goal_diff_r{_w}']}) - ({_GAPS[f'xg_diff_r{_w}']})"
+
+
+@query(_with(f"""SELECT w.match_id, CASE ftr WHEN 'H' THEN 0 WHEN 'D' THEN 1 ELSE 2 END::INT AS target, {', '.join(f"round(({x})::DOUBLE, 6) AS {c}" for c, x in _GAPS.items())}
+  FROM (SELECT match_id, {', '.join(f"max(CASE WHEN is_home = {1 if sd == 'h' else 0} THEN {c} END) AS {sd}_{c}" for sd in 'ha' for c in _SIDES)} FROM
+    (SELECT d.match_id, d.is_home, {', '.join(f"{x} AS {c}" for c, x in _SIDES.items())} FROM der d LEFT JOIN ew ON mid = match_id AND tm = team) GROUP BY 1) w
+  JOIN matches m ON m.match_id = w.match_id WHERE h_n >= 5 AND a_n >= 5""", LONG, ELO, _DERIVED))
 def features_wide(s: SparkSession, d: str) -> DataFrame:
     w = form.with_history(form.build_features(matches(s, d), ratings(s, d)))
-    return rounded(w.select("match_id", "target", "elo_diff", "points_r5_diff", "home_net_xg_r5", "away_xg_overperformance_r5"))
+    return rounded(w.select("match_id", "target", *[F.col(c).cast("double").alias(c) for c in _GAPS]))
+
+
+@query()
+def feature_frame(s: SparkSession, d: str) -> DataFrame:
+    """The whole frame, goal model included: every column of every match."""
+    return form.build_features(matches(s, d), ratings(s, d), goal_fits=goal_ratings.walk_forward_ratings(matches(s, d)))
 
 
 @query(_with("SELECT match_id, elo_diff FROM (SELECT match_id, max(CASE WHEN is_home = 1 THEN elo END) - max(CASE WHEN is_home = 0 THEN elo END) AS elo_diff, max(season) AS season FROM elo2 GROUP BY 1) WHERE season = 2001", LONG, ELO))

@@ -90,3 +90,68 @@ def test_promoted(spark):
     rows = [(f"m{s}{i}", "E0", s, dt.datetime(s, 9, 1 + i), h, a, 1.0, 0.0, 1.0, 0.0, "H") for s, ts in ((2018, "ABCD"), (2019, "ABCE")) for i, (h, a) in enumerate(itertools.permutations(ts, 2))]
     got = {(r["season"], r["team"]): r["promoted"] for r in form.promoted(form.long_frame(spark.createDataFrame(rows, SCHEMA))).collect()}
     assert got[(2018, "A")] is None and got[(2019, "E")] == 1.0 and got[(2019, "A")] == 0.0
+
+
+def goal_fits(spark, broken=False):
+    """Two checkpoints that all teams share; ``broken``: one team misses the second's rho."""
+    rows = []
+    for k, day in enumerate((dt.datetime(2018, 9, 20), dt.datetime(2019, 3, 1))):
+        for i, t in enumerate(f"Team{c}" for c in "ABCDEFGH"):
+            rows.append((t, day, 0.8 + i / 16 + k / 8, 1.3 - i / 32, 1.25 + k / 16, (-0.05 - k / 64) if not (broken and i == 2) else 0.02))
+    return spark.createDataFrame(rows, "team string, from_date timestamp, attack double, defense double, home_advantage double, rho double")
+
+
+def sides(rows, key):
+    """Brute force of a match's side features from the rows that come before it."""
+    match = next(r for r in rows if r[0] == key)
+
+    def seen(team):
+        return sorted((r[3], r[0], r[4] == team, r) for r in rows if team in (r[4], r[5]) and (r[3], r[0]) < (match[3], key))
+
+    def stat(g, home, name):
+        own, other = (6, 7) if home else (7, 6)
+        x, y = (8, 9) if home else (9, 8)
+        return {"goals_for": g[own], "goals_against": g[other], "xg_for": g[x], "xg_against": g[y], "points": 3.0 if g[own] > g[other] else 1.0 if g[own] == g[other] else 0.0}[name]
+
+    out = {}
+    for side, team in (("home", match[4]), ("away", match[5])):
+        past = seen(team)
+        for w in form.WINDOWS:
+            for name in form.ROLL_STATS:
+                last = past[-w:]
+                out[f"{side}_{name}_r{w}"] = sum(stat(g, h, name) for _, _, h, g in last) / w if len(last) == w else None
+            there = [p for p in past if p[2] == (side == "home")][-w:]
+            out[f"{side}_venue_points_r{w}"] = sum(stat(g, h, "points") for _, _, h, g in there) / w if len(there) == w else None
+    return match, out
+
+
+def test_frame_with_goal_model_equals_brute_force(spark, matches, ratings):
+    frame = {r["match_id"]: r.asDict() for r in form.build_features(matches, ratings, goal_fits=goal_fits(spark)).collect()}
+    rows = games()
+    assert frame.keys() == {r[0] for r in rows}
+    same = lambda got, want: got is None if want is None else got == pytest.approx(want)
+    less = lambda a, b: None if a is None or b is None else a - b
+    for key in sorted(frame)[::7]:
+        match, want = sides(rows, key)
+        got = frame[key]
+        assert all(same(got[c], v) for c, v in want.items())
+        for w in form.WINDOWS:
+            net = {(s, k): less(want[f"{s}_{k}_for_r{w}"], want[f"{s}_{k}_against_r{w}"]) for s in ("home", "away") for k in ("xg", "goals")}
+            xg, goals = less(net["home", "xg"], net["away", "xg"]), less(net["home", "goals"], net["away", "goals"])
+            assert same(got[f"xg_diff_r{w}"], xg) and same(got[f"goal_diff_r{w}"], goals) and same(got[f"xg_overperformance_r{w}"], less(goals, xg))
+            assert same(got[f"venue_points_r{w}_diff"], less(want[f"home_venue_points_r{w}"], want[f"away_venue_points_r{w}"]))
+        before = match[3] - dt.timedelta(days=1)
+        k = (before >= dt.datetime(2018, 9, 20)) + (before >= dt.datetime(2019, 3, 1)) - 1
+        if k < 0:
+            assert got["home_attack"] is None and got["dc_lambda_home"] is None and got["dc_p_H"] is None
+            continue
+        i, j = ord(match[4][-1]) - 65, ord(match[5][-1]) - 65
+        lh, la = (0.8 + i / 16 + k / 8) * (1.3 - j / 32) * (1.25 + k / 16), (0.8 + j / 16 + k / 8) * (1.3 - i / 32)
+        assert (got["dc_lambda_home"], got["dc_lambda_away"], got["dc_goal_diff_expected"]) == pytest.approx((lh, la, lh - la))
+        assert (got["attack_diff"], got["defense_diff"]) == pytest.approx(((i - j) / 16, (j - i) / 32))
+        assert sum(got[f"dc_p_{o}"] for o in "HDA") == pytest.approx(1)
+
+
+def test_frame_fails_where_sides_met_different_fits(spark, matches, ratings):
+    with pytest.raises(Exception, match="home and away rho differ"):
+        form.build_features(matches, ratings, goal_fits=goal_fits(spark, broken=True)).collect()
