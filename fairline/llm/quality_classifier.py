@@ -151,16 +151,16 @@ def fit(measured: DataFrame, labels: DataFrame, key: str = "doc_id", label: str
     return model
 
 
-def _raw(measured: DataFrame, model: dict) -> DataFrame:
-    """Replaces ``stats``, the last column, by the ridge score ``raw``."""
+def _raw(measured: DataFrame, model: dict, name: str = "raw", then=None) -> DataFrame:
+    """Replaces ``stats``, the last column, by the ridge score, or what ``then`` makes of it; one pass through Python."""
     names = [c for c in measured.columns if c != "stats"]
 
     def run(batches):
         for b in batches:
             raw = _map(_matrix(b.column(b.num_columns - 1), len(STATISTICS)), model) @ model["beta"] if b.num_rows else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(raw, pa.float64())], [*names, "raw"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(then(raw) if then else raw, pa.float64())], [*names, name])
 
-    return measured.select(*names, "stats").mapInArrow(run, measured.select(*names).schema.add("raw", "double"))
+    return measured.select(*names, "stats").mapInArrow(run, measured.select(*names).schema.add(name, "double"))
 
 
 def score(measured: DataFrame, model: dict) -> DataFrame:
@@ -168,16 +168,12 @@ def score(measured: DataFrame, model: dict) -> DataFrame:
     if "constant" in model:
         return measured.withColumn("score", F.lit(model["constant"])).drop("stats")
     x, y = model["knots"]
-    names = [c for c in measured.columns if c != "stats"]
 
-    def run(batches):
-        for b in batches:
-            raw = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False)
-            # A hundredth of the score follows the ridge score, so that equal calibrated values keep an order.
-            value = np.round(0.99 * np.interp(raw, x, y) + 0.01 * np.clip((raw + 0.5) / 2, 0, 1), 9)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(value, pa.float64())], [*names, "score"])
+    def calibrated(raw: np.ndarray) -> np.ndarray:
+        # A hundredth of the score follows the ridge score, so that equal calibrated values keep an order.
+        return np.round(0.99 * np.interp(raw, x, y) + 0.01 * np.clip((raw + 0.5) / 2, 0, 1), 9)
 
-    return _raw(measured, model).mapInArrow(run, measured.select(*names).schema.add("score", "double"))
+    return _raw(measured, model, "score", calibrated)
 
 
 def scored(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -402,3 +402,14 @@ def test_pipeline_of_null_repeated_and_clashing(spark, tmp_path):
     nothing = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, nothing, str(tmp_path)).count() == 0
+
+
+def test_quality_scores_take_one_python_pass(spark):
+    width = len(quality_classifier.STATISTICS)
+    model = {"mean": np.zeros(width), "scale": np.ones(width), "w": np.ones((width, 3)), "b": np.zeros(3), "beta": np.array([0.1, 0.2, 0.3, 0.4]), "knots": (np.array([0.0, 1.0]), np.array([0.2, 0.8]))}
+    rows = spark.createDataFrame([(1, [0.1] * width), (2, [0.0] * width)], "doc_id long, stats array<double>")
+    got = quality_classifier.score(rows, model)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    raw = {r["doc_id"]: r["raw"] for r in quality_classifier._raw(rows, model).collect()}
+    want = {k: round(0.99 * float(np.interp(x, [0.0, 1.0], [0.2, 0.8])) + 0.01 * (x + 0.5) / 2, 9) for k, x in raw.items()}
+    assert {r["doc_id"]: r["score"] for r in got.collect()} == pytest.approx(want)
