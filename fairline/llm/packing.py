@@ -36,7 +36,8 @@ END_ID = 2
 CUT_PENALTY = 24
 WINDOW_COST = 8
 BLOCK_TOKENS = 1 << 20
-CACHE = 1_000_000
+#: Chunks in either half of a worker's memory of ids, some 25 MB; most chunks of a large corpus are rare, and workers live on through later stages.
+CACHE = 1 << 17
 END_BYTES = END_ID.to_bytes(4, "little")
 #: ASCII characters other than letters, digits and white space; the vocabulary's pattern takes a run of them as one piece.
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -70,6 +71,7 @@ class ChunkIds:
         self.apart_id, token = next(iter(self.lib.get_added_tokens_decoder().items()))
         self.apart = token.content
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.ends = np.zeros(self.lib.get_vocab_size(True) + 1, bool)
         self.closes = np.zeros_like(self.ends)
         for name, i in self.lib.get_vocab(True).items():
@@ -79,7 +81,7 @@ class ChunkIds:
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text, closed by END_ID."""
         if len(self.known) >= CACHE:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         get, known = self.known.get, self.known
         split = [text.split() for text in texts]
         found = [list(map(get, chunks)) for chunks in split]
@@ -93,18 +95,30 @@ class ChunkIds:
     def learn(self, chunks: set[bytes]) -> None:
         """Encode new chunks. A word in capitals has the ids of its small letters; closing marks add their own."""
         known, plain, other = self.known, [], []
-        for c in chunks:
+        for c in self.recall(chunks):
             w = c.rstrip(MARKS)
             small = None if b"<|" in c else small_letters(w)
             if small is None:
                 other.append(c)
             else:
                 plain.append((c, small, c[len(w) :]))
-        self.encode_words([w for w in {w for _, w, _ in plain} if w not in known])
-        self.encode_new([c for c in {*(m for _, _, m in plain if m), *other} if c not in known])
+        self.encode_words(self.recall({w for _, w, _ in plain}))
+        self.encode_new(self.recall({*(m for _, _, m in plain if m), *other}))
         for c, w, marks in plain:
             known[c] = known[w] + known[marks] if marks else known[w]
 
+    def recall(self, chunks: set[bytes]) -> list[bytes]:
+        """The chunks without ids; those that the older half has are taken over, so what recurs stays."""
+        new = []
+        for c in chunks:
+            if c not in self.known:
+                ids = self.older.get(c)
+                if ids is None:
+                    new.append(c)
+                else:
+                    self.known[c] = ids
+        return new
+
     def encode_words(self, new: list[bytes]) -> None:
         """Many words of letters a call, set apart by spaces: each has one token that closes a word, its last."""
         for at in range(0, len(new), 500):

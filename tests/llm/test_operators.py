@@ -413,3 +413,15 @@ def test_quality_scores_take_one_python_pass(spark):
     raw = {r["doc_id"]: r["raw"] for r in quality_classifier._raw(rows, model).collect()}
     want = {k: round(0.99 * float(np.interp(x, [0.0, 1.0], [0.2, 0.8])) + 0.01 * (x + 0.5) / 2, 9) for k, x in raw.items()}
     assert {r["doc_id"]: r["score"] for r in got.collect()} == pytest.approx(want)
+
+
+def test_packing_worker_holds_few_chunks():
+    lib = packing.ChunkIds(bpe.vocabulary_path())
+    for k in range(40):
+        words = ["always", "Often,", *(f"{chr(97 + k % 26)}{chr(97 + k // 26)}" + "".join(chr(97 + i // 26**j % 26) for j in range(3)) for i in range(9000))]
+        ids = lib.encode([" ".join(words).encode()])[0]
+        assert len(lib.known) + len(lib.older) < 300_000
+        if k in (0, 20, 39):
+            want = lib.lib.encode(" ".join(words), add_special_tokens=False).ids
+            assert ids.tolist() == [*want, packing.END_ID]
+    assert b"Often," in lib.known or b"Often," in lib.older
