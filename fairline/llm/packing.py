@@ -41,6 +41,8 @@ CACHE = 1 << 17
 END_BYTES = END_ID.to_bytes(4, "little")
 #: ASCII characters other than letters, digits and white space; the vocabulary's pattern takes a run of them as one piece.
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: The characters by which byte-level vocabularies spell bytes that are no printable Latin-1 character.
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 #: Endings of vocabulary strings that close a sentence.
 SENTENCE_ENDS = (".</w>", "!</w>", "?</w>", "...</w>")
 
@@ -52,6 +54,8 @@ def small_letters(word: bytes) -> bytes | None:
     text = word.decode()
     if word.isascii() or not text.isalpha():
         return None
+    if text.lower() == text:
+        return word if unicodedata.is_normalized("NFC", text) else None
     small = "".join([c.lower() for c in text])
     return small.encode() if small.isalpha() and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", small) else None
 
@@ -59,7 +63,8 @@ def small_letters(word: bytes) -> bytes | None:
 class ChunkIds:
     """Ids from the tokenizers library, kept per white-space separated chunk.
 
-    The file's pattern drops white space, so no token crosses it; only new chunks are encoded.
+    The file's pattern drops white space, so no token crosses it; only new chunks are encoded. Words of letters
+    that the file's normalizer and pattern leave whole go to the library's model directly.
     """
 
     def __init__(self, path: str):
@@ -72,66 +77,64 @@ class ChunkIds:
         self.apart = token.content
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.model = self.lib.model
+        self.whole: dict[str, bool] = {}
         self.ends = np.zeros(self.lib.get_vocab_size(True) + 1, bool)
-        self.closes = np.zeros_like(self.ends)
         for name, i in self.lib.get_vocab(True).items():
             self.ends[i] = name.endswith(SENTENCE_ENDS)
-            self.closes[i] = name.endswith("</w>")
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text, closed by END_ID."""
         if len(self.known) >= CACHE:
             self.known, self.older = {}, self.known
-        get, known = self.known.get, self.known
         split = [text.split() for text in texts]
-        found = [list(map(get, chunks)) for chunks in split]
-        missing = [[at for at, i in enumerate(ids) if i is None] if None in ids else [] for ids in found]
-        self.learn({chunks[at] for chunks, places in zip(split, missing) for at in places})
-        for chunks, ids, places in zip(split, found, missing):
-            for at in places:
-                ids[at] = known[chunks[at]]
-        return [np.frombuffer(b"".join([*ids, END_BYTES]), "<u4") for ids in found]
+        self.learn(set().union(*split).difference(self.known))
+        ids = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(ids, chunks)) + END_BYTES, "<u4") for chunks in split]
 
     def learn(self, chunks: set[bytes]) -> None:
         """Encode new chunks. A word in capitals has the ids of its small letters; closing marks add their own."""
-        known, plain, other = self.known, [], []
+        known, words, parts, other = self.known, set(), [], set()
         for c in self.recall(chunks):
-            w = c.rstrip(MARKS)
+            w = c if c.isalpha() else c.rstrip(MARKS)
             small = None if b"<|" in c else small_letters(w)
             if small is None:
-                other.append(c)
+                other.add(c)
+            elif small == c:
+                words.add(c)
             else:
-                plain.append((c, small, c[len(w) :]))
-        self.encode_words(self.recall({w for _, w, _ in plain}))
-        self.encode_new(self.recall({*(m for _, _, m in plain if m), *other}))
-        for c, w, marks in plain:
+                parts.append((c, small, c[len(w) :]))
+        words |= self.recall({w for _, w, _ in parts}.difference(words, known))
+        self.encode_words([*words])
+        other |= self.recall({m for _, _, m in parts if m}.difference(other, known))
+        self.encode_new([*other])
+        for c, w, marks in parts:
             known[c] = known[w] + known[marks] if marks else known[w]
 
-    def recall(self, chunks: set[bytes]) -> list[bytes]:
+    def recall(self, chunks: set[bytes]) -> set[bytes]:
         """The chunks without ids; those that the older half has are taken over, so what recurs stays."""
-        new = []
-        for c in chunks:
-            if c not in self.known:
-                ids = self.older.get(c)
-                if ids is None:
-                    new.append(c)
-                else:
-                    self.known[c] = ids
+        new = chunks.difference(self.older)
+        for c in chunks.difference(new):
+            self.known[c] = self.older[c]
         return new
 
+    def stays(self, letter: str) -> bool:
+        """Whether the normalizer keeps a letter and the pattern takes it as part of a word."""
+        if letter not in self.whole:
+            self.whole[letter] = self.lib.normalizer.normalize_str(letter) == letter and len(self.lib.pre_tokenizer.pre_tokenize_str(f"a{letter}a")) == 1
+        return self.whole[letter]
+
     def encode_words(self, new: list[bytes]) -> None:
-        """Many words of letters a call, set apart by spaces: each has one token that closes a word, its last."""
-        for at in range(0, len(new), 500):
-            some = new[at : at + 500]
-            (found,) = self.lib.encode_batch_fast([" ".join([w.decode() for w in some])], add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            ends = (np.flatnonzero(self.closes[ids]) + 1).tolist()
-            if len(ends) != len(some) or ends[-1] != len(ids):  # a letter that the file's pattern does not take for one
-                self.encode_new(some)
-                continue
-            raw = ids.tobytes()
-            for w, i, j in zip(some, [0, *ends], ends):
-                self.known[w] = raw[4 * i : 4 * j]
+        """Words of small letters by the model alone, spelled in its characters for bytes."""
+        known, tokenize, odd = self.known, self.model.tokenize, []
+        for w in new:
+            if w.isascii():
+                known[w] = array("I", [t.id for t in tokenize(w.decode())]).tobytes()
+            elif all(map(self.stays, set(w.decode()))):
+                known[w] = array("I", [t.id for t in tokenize(w.decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
+            else:
+                odd.append(w)
+        self.encode_new(odd)
 
     def encode_new(self, new: list[bytes]) -> None:
         """Many chunks a call, set apart by an added token, which the library cuts out before all else."""

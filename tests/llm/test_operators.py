@@ -425,3 +425,12 @@ def test_packing_worker_holds_few_chunks():
             want = lib.lib.encode(" ".join(words), add_special_tokens=False).ids
             assert ids.tolist() == [*want, packing.END_ID]
     assert b"Often," in lib.known or b"Often," in lib.older
+
+
+def test_packing_words_of_letters_need_only_the_model():
+    lib = packing.ChunkIds(bpe.vocabulary_path())
+    text = "Always, \u00c9t\u00e9 na\u00efve \u0153uvre wei\u00df. d\u00e9j\u00e0 always \u0416\u0438\u0437\u043d\u044c \u4e2d\u6587"
+    lib.learn({b",", b"."})
+    want, full = lib.lib.encode(text, add_special_tokens=False).ids, lib.lib
+    lib.lib = type("NoPipeline", (), {"normalizer": full.normalizer, "pre_tokenizer": full.pre_tokenizer})
+    assert lib.encode([text.encode()])[0].tolist() == [*want, packing.END_ID]
