@@ -1,6 +1,7 @@
 """Closed forms and brute force for helpers."""
 
 import itertools
+import time
 
 import numpy as np
 import pandas as pd
@@ -151,3 +152,44 @@ def test_second_venue_takes_the_last_prices(spark, tmp_path):
     rows = readers.read_venue_b(spark, str(path)).collect()
     assert [r["event"] for r in rows] == ["a"] and rows[0]["sides"] == ["Lyon", "Nice again"]
     assert np.allclose([rows[0][f"pm_p_{o}"] for o in "HDA"], np.array([0.5, 0.3, 0.4]) / 1.2)
+
+
+def test_goal_fit_has_the_objective_and_its_derivatives():
+    r = np.random.default_rng(4)
+    for n, m in ((6, 200), (60, 150)):  # most pairs met, and few
+        h = r.integers(0, n, m)
+        a = (h + r.integers(1, n, m)) % n
+        counts = goal_ratings.counted(np.arange(m), r.integers(0, 3, m).astype(float), r.integers(0, 3, m).astype(float), r.uniform(0.1, 1, m), m)
+        f, t, z = goal_ratings.Fit(h, a, counts, n, 0.05), np.append(r.normal(0, 0.2, 2 * n + 1), 0.07), r.normal(size=2 * n + 2)
+        value, slope = f.value(t)
+        want, gradient = goal_ratings.pair_objective(t, h, a, counts, n, 0.05)
+        assert np.isclose(value, want) and np.allclose(slope, gradient)
+        product, diagonal = f.curvature(t)
+        assert np.allclose(product(z), (f.value(t + 1e-5 * z)[1] - f.value(t - 1e-5 * z)[1]) / 2e-5, atol=1e-5)
+        assert np.allclose(diagonal, [product(e)[i] for i, e in enumerate(np.eye(2 * n + 2))])
+
+
+def test_goal_fit_of_many_teams_is_soon_done():
+    r = np.random.default_rng(1)
+    n, m = 2000, 60_000
+    h = r.integers(0, n, m)
+    a = (h + r.integers(1, n, m)) % n
+    counts = goal_ratings.counted(np.arange(m), r.integers(0, 4, m).astype(float), r.integers(0, 3, m).astype(float), np.exp(-0.0019 * r.uniform(0, 2400, m)), m)
+    start = time.time()
+    got = goal_ratings.fit_counted([f"T{i}" for i in range(n)], h, a, counts, 0.05, (-0.2, 0.2), None, (0.25, 0.0))
+    assert time.time() - start < 1.5  # a matrix of all second derivatives takes longer to invert
+    theta = np.concatenate([np.log(got["attack"]), np.log(got["defense"]), [np.log(got["home_advantage"][0]), got["rho"][0]]])
+    assert np.abs(goal_ratings.pair_objective(theta, h, a, counts, n, 0.05)[1]).max() < 1e-4
+
+
+def test_goal_ratings_of_a_league_are_several_tasks(spark):
+    day = pd.Timestamp("2000-01-01")
+    r = np.random.default_rng(2)
+    rows = [(x, day + pd.Timedelta(days=int(i // 5)), *r.choice(list("ABCDEF"), 2, replace=False).tolist(), float(r.integers(4)), float(r.integers(3))) for x in ("L", "M") for i in range(400)]
+    m = spark.createDataFrame(pd.DataFrame(rows, columns=["league", "date", "home_team", "away_team", "fthg", "ftag"]))
+    key = ["league", "from_date", "team"]
+    one, many = (goal_ratings.walk_forward_ratings(m, blocks=k).toPandas().sort_values(key).reset_index(drop=True) for k in (1, 4))
+    assert one[key].equals(many[key]) and one.groupby("league")["from_date"].nunique().min() == 13
+    assert np.allclose(one[["attack", "defense", "home_advantage", "rho"]], many[["attack", "defense", "home_advantage", "rho"]], atol=1e-4)
+    few = m.where("date < '2000-01-04'")
+    assert goal_ratings.walk_forward_ratings(few).count() == 0
