@@ -1,7 +1,7 @@
 """Point-in-time features over the team-match long frame.
 
-All team windows share the partitioning by team; the match_id exchanges are one for the
-opponent's rating and one for the wide form.
+All team windows share the partitioning by team, which the as-of join by team leaves behind; an exchange by opponent before it
+serves the opponent's rating, one by match_id the wide form.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ MIN_HISTORY = 5
 TEAM_ORDER = ("date", "match_id")
 
 
-def long_frame(matches: DataFrame) -> DataFrame:
-    """Two rows per match, the away row with swapped statistics."""
+def long_frame(matches: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Two rows per match, the away row with swapped statistics; both have the match's columns ``keep``."""
 
     def side(is_home: int) -> Column:
         own, other = ("home", "away") if is_home else ("away", "home")
@@ -33,8 +33,8 @@ def long_frame(matches: DataFrame) -> DataFrame:
             F.col(f"{own}_xg").alias("xg_for"), F.col(f"{other}_xg").alias("xg_against"), points(F.col(g), F.col(h)).alias("points"),
         )
 
-    rows = matches.select("match_id", "league", "season", "date", F.explode(F.array(side(1), side(0))).alias("s"))
-    return rows.select("match_id", "league", "season", "date", "s.*")
+    rows = matches.select("match_id", "league", "season", "date", *keep, F.explode(F.array(side(1), side(0))).alias("s"))
+    return rows.select("match_id", "league", "season", "date", *keep, "s.*")
 
 
 def lagged_mean(value: str | Column, w: int, *keys: str) -> Column:
@@ -59,28 +59,39 @@ def rolling_form(rows: DataFrame) -> DataFrame:
     )
 
 
-def asof(rows: DataFrame, facts: DataFrame, values: list[str], at: Column, since: str = "from_date", key: str = "team") -> DataFrame:
-    """The latest fact per key with ``since`` <= ``at``; a null value in that fact stays null.
+def asof(rows: DataFrame, facts: DataFrame, values: list[str], at: str, since: Column, key: str = "team", fact_key: str | None = None) -> DataFrame:
+    """The latest fact per key with ``since`` <= ``at``; a null value in that fact stays null. ``fact_key``: the key's name in ``facts``, if another.
 
     Both sides are united and one window per key carries the last fact forward: one sort,
     linear in the rows. Of facts with equal ``since`` the one ordered last by value wins.
+    Key and time are no part of the packed row: what follows by the same key needs no shuffle of its own.
     """
-    packed = F.struct(*[F.col(v) for v in values])
-    left = rows.select(F.col(key), at.cast("timestamp").alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(facts.select(packed).schema[0].dataType).alias("__fact"), F.struct(*rows.columns).alias("__row"))
-    right = facts.select(F.col(key), F.col(since).cast("timestamp").alias("__t"), F.lit(0).alias("__side"), packed.alias("__fact"), F.lit(None).cast(left.schema["__row"].dataType).alias("__row"))
-    w = Window.partitionBy(key).orderBy("__t", "__side", "__fact").rowsBetween(Window.unboundedPreceding, 0)
+    packed, rest = F.struct(*[F.col(v) for v in values]), [c for c in rows.columns if c not in (key, at)]
+    left = rows.select(F.col(key), F.col(at), F.lit(1).alias("__side"), F.lit(None).cast(facts.select(packed).schema[0].dataType).alias("__fact"), F.struct(*rest).alias("__row"))
+    right = facts.select(F.col(fact_key or key).alias(key), since.cast(left.schema[at].dataType).alias(at), F.lit(0).alias("__side"), packed.alias("__fact"), F.lit(None).cast(left.schema["__row"].dataType).alias("__row"))
+    w = Window.partitionBy(key).orderBy(at, "__side", "__fact").rowsBetween(Window.unboundedPreceding, 0)
     both = left.unionByName(right).withColumn("__last", F.last("__fact", ignorenulls=True).over(w))
-    return both.where("__side = 1").select("__row.*", *[F.col(f"__last.{v}").alias(v) for v in values])
+    return both.where("__side = 1").select(*[F.col(c) if c in (key, at) else F.col(f"__row.{c}") for c in rows.columns], *[F.col(f"__last.{v}").alias(v) for v in values])
+
+
+def _known() -> Column:
+    """A fact counts for kickoffs from a day after it on."""
+    return F.expr("cast(from_date as timestamp) + interval 1 day")
 
 
 def attach_elo(rows: DataFrame, ratings: DataFrame) -> DataFrame:
     """Rating known a day before kickoff; ``to_date`` is not looked at."""
-    return asof(rows, ratings, ["elo"], F.col("date") - F.expr("interval 1 day"))
+    return asof(rows, ratings, ["elo"], "date", _known())
+
+
+def attach_opponent_elo(rows: DataFrame, ratings: DataFrame) -> DataFrame:
+    """J7 before J5: ``opp_elo`` from the opponent's own ratings, as both rows of a match have one date."""
+    return asof(rows, ratings.withColumnRenamed("elo", "opp_elo"), ["opp_elo"], "date", _known(), key="opponent", fact_key="team")
 
 
 def attach_goal_ratings(rows: DataFrame, ratings: DataFrame) -> DataFrame:
     """Attack, defense, home_advantage and rho known a day before kickoff."""
-    return asof(rows, ratings, ["attack", "defense", "home_advantage", "rho"], F.col("date") - F.expr("interval 1 day"))
+    return asof(rows, ratings, ["attack", "defense", "home_advantage", "rho"], "date", _known())
 
 
 def opponent_elo(rows: DataFrame) -> DataFrame:
@@ -120,12 +131,15 @@ def derived_form(rows: DataFrame) -> DataFrame:
     )
 
 
-def promoted(rows: DataFrame) -> DataFrame:
-    """1 if the team was absent from the league a season before; null in the first season of all."""
-    had = rows.select("league", (F.col("season") + 1).alias("season"), "team", F.lit(1).alias("__had")).distinct()
-    first = rows.agg(F.min("season").alias("__first"))
-    flagged = rows.join(had, ["league", "season", "team"], "left").join(F.broadcast(first))
-    return flagged.withColumn("promoted", F.when(F.col("season") > F.col("__first"), F.when(F.col("__had").isNull(), 1.0).otherwise(0.0))).drop("__had", "__first")
+def promoted(rows: DataFrame, seasons: DataFrame | None = None) -> DataFrame:
+    """1 if the team was absent from the league a season before; null in the first season of all.
+
+    ``seasons``: any table with all seasons of the rows, where that is less to read again than the rows.
+    """
+    first = rows.agg(F.min("season").alias("__first")) if seasons is None else seasons.agg(F.min("season").alias("__first"))
+    before = Window.partitionBy("team", "league").orderBy("season").rangeBetween(-1, -1)
+    flagged = rows.withColumn("__had", F.count("*").over(before)).join(F.broadcast(first))
+    return flagged.withColumn("promoted", F.when(F.col("season") > F.col("__first"), F.when(F.col("__had") == 0, 1.0).otherwise(0.0))).drop("__had", "__first")
 
 
 SIDE_FEATURES = (
@@ -137,11 +151,17 @@ GOAL_RATINGS = ("attack", "defense", "home_advantage", "rho")
 COMPARED = ("elo", "rest_days", "ewma_points", "season_ppg", "matches_14d", *(f"{s}_r{w}" for s in ("points", "venue_points", "elo_over", "opp_elo") for w in WINDOWS))
 
 
-def wide_frame(rows: DataFrame, features: tuple[str, ...] = SIDE_FEATURES) -> DataFrame:
-    """Home and away rows back to one row per match, in one aggregation."""
+def wide_frame(rows: DataFrame, features: tuple[str, ...] = SIDE_FEATURES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Home and away rows back to one row per match, in one aggregation; league, season, date and ``keep`` are the home row's.
+
+    Rows are dealt by match before they are aggregated: a row travels with its own features, not with places for those of both sides.
+    """
     pick = lambda c, side: F.max(F.when(F.col("is_home") == side, F.col(c)))
     aggs = [pick(c, 1).alias(f"home_{c}") for c in features] + [pick(c, 0).alias(f"away_{c}") for c in features]
-    return rows.groupBy("match_id", "league", "season", "date").agg(*aggs)
+    shared = ("league", "season", "date", *keep)
+    met = rows.select("match_id", *[F.when(F.col("is_home") == 1, F.col(c)).alias(c) for c in shared], "is_home", *features).repartition("match_id")
+    wide = met.groupBy("match_id").agg(*[F.max(c).alias(c) for c in shared], *aggs)
+    return wide.select("match_id", "league", "season", "date", *[c for c in wide.columns if c not in ("match_id", *shared)], *keep)
 
 
 def differentials(wide: DataFrame, features: tuple[str, ...]) -> DataFrame:
@@ -184,15 +204,22 @@ def build_features(matches: DataFrame, ratings: DataFrame, upcoming: DataFrame |
     must have met one fit: the job fails otherwise (W13). Sides without a fit have nulls there.
     """
     every = matches if upcoming is None else matches.unionByName(upcoming, allowMissingColumns=True)
-    rows = promoted(derived_form(opponent_elo(attach_elo(rolling_form(long_frame(every)), ratings))))
+    keep = ("ftr",) if upcoming is None else ()
+    # Two shuffles of plain rows, by opponent and by team; every team window follows the second. Points follow from goals.
+    rows = attach_elo(attach_opponent_elo(long_frame(every, keep).drop("points"), ratings).drop("opponent"), ratings)
+    if goal_fits is not None:
+        rows = attach_goal_ratings(rows, goal_fits)
+    rows = rows.withColumn("points", points(F.col("goals_for"), F.col("goals_against")))
+    rows = promoted(derived_form(rolling_form(rows)), every)
+    wide = wide_frame(rows, SIDE_FEATURES if goal_fits is None else (*SIDE_FEATURES, *GOAL_RATINGS), keep)
     if goal_fits is None:
-        wide = differentials(wide_frame(rows), COMPARED)
+        wide = differentials(wide, COMPARED)
     else:
-        wide = wide_frame(attach_goal_ratings(rows, goal_fits), (*SIDE_FEATURES, *GOAL_RATINGS)).withColumns({f"home_{c}": consistent(c) for c in GOAL_RATINGS[2:]})
+        wide = wide.withColumns({f"home_{c}": consistent(c) for c in GOAL_RATINGS[2:]})
         wide = goal_features(differentials(wide, (*COMPARED, "attack", "defense")))
     if upcoming is not None:
         return wide.join(upcoming.select("match_id"), "match_id", "left_semi")
-    return wide.join(matches.select("match_id", outcome_code(F.col("ftr")).alias("target"), "ftr"), "match_id", "left")
+    return wide.select(*[c for c in wide.columns if c != "ftr"], outcome_code(F.col("ftr")).alias("target"), "ftr")
 
 
 def with_history(wide: DataFrame, least: int = MIN_HISTORY) -> DataFrame:

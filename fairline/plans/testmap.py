@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MATCHES_SQL = """
@@ -29,22 +29,33 @@ ratings AS (
 """
 
 
-def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """match_id, league, season, date, teams, goals, xG, result, id: a double round robin per season."""
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order as a match: some meet again."""
     n = spark.read.parquet(f"{sf_dir}/customer.parquet").count()
     t = max(100, 5 * (n // 150))
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
         F.col("o_orderkey").alias("id"), (F.unix_timestamp("o_orderdate") + F.col("o_orderkey") % 86400).cast("timestamp").alias("date"), (F.col("o_custkey") % 5).alias("lg"),
         F.floor("o_totalprice").alias("price"), (F.year("o_orderdate") - F.when(F.month("o_orderdate") < 7, 1).otherwise(0)).cast("int").alias("season"), (F.col("o_custkey") % t).alias("h"),
     )
-    o = o.withColumn("a", (F.col("h") + 5 * (1 + F.col("id") % (t // 5 - 1))) % t)
+    return o.withColumn("a", (F.col("h") + 5 * (1 + F.col("id") % (t // 5 - 1))) % t)
+
+
+def _team(c: str) -> Column:
+    return F.concat(F.lit("T"), F.col(c).cast("string"))
+
+
+def _league() -> Column:
+    return F.concat(F.lit("L"), F.col("lg").cast("string"))
+
+
+def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """match_id, league, season, date, teams, goals, xG, result, id: a double round robin per season."""
+    o = _orders(spark, sf_dir)
     first = Window.partitionBy("lg", "season", "h", "a").orderBy("date", "id")
     hg, ag = F.expr("id div 3 % 4"), F.expr("(id div 7 + price) % 3")
     known = F.col("id") % 20 != 0
-    team = lambda c: F.concat(F.lit("T"), F.col(c).cast("string"))
-    league = F.concat(F.lit("L"), F.col("lg").cast("string"))
     return o.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(
-        F.concat_ws("_", league, F.col("season").cast("string"), team("h"), team("a")).alias("match_id"), league.alias("league"), "season", "date", team("h").alias("home_team"), team("a").alias("away_team"),
+        F.concat_ws("_", _league(), F.col("season").cast("string"), _team("h"), _team("a")).alias("match_id"), _league().alias("league"), "season", "date", _team("h").alias("home_team"), _team("a").alias("away_team"),
         hg.cast("double").alias("fthg"), ag.cast("double").alias("ftag"), F.when(known, hg * 0.75 + (F.col("id") % 8) / 8.0).alias("home_xg"), F.when(known, ag * 0.75 + (F.col("id") % 4) / 4.0).alias("away_xg"),
         F.when(hg > ag, "H").when(hg == ag, "D").otherwise("A").alias("ftr"), "id",
     )
@@ -63,7 +74,8 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quarterly rating epochs per team."""
-    teams = matches(spark, sf_dir).select(F.col("home_team").alias("team"), "league").distinct().withColumn("n", F.expr("cast(substr(team, 2) as bigint)"))
+    # Of orders that meet again one stays, so the clubs are those of all orders.
+    teams = _orders(spark, sf_dir).select(_team("h").alias("team"), _league().alias("league")).distinct().withColumn("n", F.expr("cast(substr(team, 2) as bigint)"))
     epochs = teams.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(27))))
     start = F.expr("cast(date_add(date'1995-01-01', q * 92) as timestamp)")
     return epochs.select("team", "league", F.lit(1).alias("level"), (1400 + F.col("n") * 7 % 400 + F.col("q")).cast("double").alias("elo"), start.alias("from_date"), (start + F.expr("interval 91 days")).alias("to_date"))

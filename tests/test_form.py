@@ -155,3 +155,27 @@ def test_frame_with_goal_model_equals_brute_force(spark, matches, ratings):
 def test_frame_fails_where_sides_met_different_fits(spark, matches, ratings):
     with pytest.raises(Exception, match="home and away rho differ"):
         form.build_features(matches, ratings, goal_fits=goal_fits(spark, broken=True)).collect()
+
+
+def _written_bytes(spark, df) -> int:
+    """Bytes that all shuffles of a frame wrote, by the metrics of its executed plan."""
+    qe = df._jdf.queryExecution()
+    qe.executedPlan().execute().count()
+    total, todo = 0, [qe.executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+        if node.metrics().contains("shuffleBytesWritten"):
+            total += node.metrics().apply("shuffleBytesWritten").value()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+def test_features_take_few_and_narrow_shuffles(spark):
+    from fairline.plans import testmap
+
+    d = "/root/testdata/sf0.01"
+    assert _written_bytes(spark, form.build_features(testmap.matches(spark, d), testmap.ratings(spark, d))) < 5_500_000  # 7.6 million by five shuffles of ever wider rows
