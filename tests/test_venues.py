@@ -77,3 +77,27 @@ def test_nothing_to_match(spark):
     assert len(got) == 1 and got[0]["event"] is None
     assert entity.venue_match(fixtures.limit(0), none).count() == 0
     assert {r["rate"] for r in entity.venue_coverage(entity.venue_match(fixtures, none)).collect()} == {1.0}
+
+
+def test_no_club_of_the_query_resembles_another(spark):
+    """Its SQL holds every match of a pair of names against that pair alone, so no name may reach the bound in another's text."""
+    from pyspark.sql import functions as F
+
+    from fairline.plans import catalog
+
+    teams = spark.range(30_000).select(F.concat(F.lit("T"), F.col("id").cast("string")).alias("team"))
+    rows = teams.select(F.expr(catalog._club("team")).alias("club"), F.lower(F.expr(catalog._venue_name("team"))).alias("spelled")).collect()
+    assert {len(r["club"]) for r in rows} == {9} and {len(r["spelled"]) for r in rows} == {8, 9}
+    assert all(r["spelled"] in (r["club"], r["club"][:4] + r["club"][5:]) for r in rows)
+    # A text begins with a spelled name; the least that matches is 7 letters of 9 among its first 8, or 8 among any 9.
+    drop = lambda x: {x[:i] + x[i + 1 :] for i in range(len(x))}
+    starts, middles = {}, {}
+    for n, r in enumerate(rows):
+        for x in drop(r["spelled"][:8]):
+            starts.setdefault(x, set()).add(n)
+        for x in drop(r["spelled"]) if len(r["spelled"]) == 9 else {r["spelled"]}:
+            middles.setdefault(x, set()).add(n)
+    for n, r in enumerate(rows):
+        for x in drop(r["club"]):
+            assert middles.get(x, set()) <= {n}
+            assert all(starts.get(y, set()) <= {n} for y in drop(x))
